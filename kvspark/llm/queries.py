@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, line_dedup, packing, sharding, simhash, tokens
-from .common import table
+from . import chat, decontaminate, fingerprint, language, line_dedup, packing, sharding, simhash, tokens
+from .common import fold, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.predict(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", fold("doc_id", 5, 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=10)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -63,7 +68,7 @@ def op10_sampled_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_format, op3_decontaminate, op5_line_dedup, op7_fingerprint, op8_pack, op9_token_counts, op10_sampled_splitter_sharding)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_format, op3_decontaminate, op4_language_id, op5_line_dedup, op7_fingerprint, op8_pack, op9_token_counts, op10_sampled_splitter_sharding)
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
