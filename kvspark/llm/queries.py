@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, language, line_dedup, packing, sharding, simhash, tokens
+from . import chat, decontaminate, fingerprint, language, line_dedup, packing, quality, sharding, simhash, tokens
 from .common import fold, table
 
 
@@ -42,6 +42,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = quality.predict(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return rated.select("doc_id", fold("doc_id", 3, 1).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.against_next(table(spark, sf_dir, "documents"))
 
@@ -68,7 +73,7 @@ def op10_sampled_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_format, op3_decontaminate, op4_language_id, op5_line_dedup, op7_fingerprint, op8_pack, op9_token_counts, op10_sampled_splitter_sharding)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_chat_format, op3_decontaminate, op4_language_id, op5_line_dedup, op6_quality, op7_fingerprint, op8_pack, op9_token_counts, op10_sampled_splitter_sharding)
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
