@@ -9,7 +9,8 @@ dynamic programme over byte positions. What words have in common is kept: chunks
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,9 @@ from .common import ready, utf8
 #: Fixed: how the vocabulary's tokenizer cuts a text into words, and the suffixes it cuts off as words of their own.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SUFFIXES = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-#: Code points on which regular expression libraries of all Unicode versions agree; others go to the tokenizer's own cutter.
-_KNOWN = regex.compile("[\t-\r -~ -ɏ‐-‧€]*")
+#: Code points beyond those on which regular expression libraries of all Unicode versions agree; texts with them go to
+#: the tokenizer's own cutter.
+_ODD = re.compile("[^\x00-\u052f\u2010-\u2027\u20ac]")
 #: Entries of one generation of a cache. There are two; what the older holds and is not asked for again is forgotten.
 GENERATION = 1 << 18
 
@@ -55,22 +57,30 @@ class Cache:
 
 
 class Words:
-    """Texts cut as the tokenizer at ``path`` cuts them. of_word: a value of each word (bytes or a count), to be added up."""
+    """The tokenizer at ``path``, and texts cut as it cuts them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        self.vocabulary: dict[str, int] = model["vocab"]
+        self.merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(WORDS)
         self.at_special = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
 
     def cut(self, text: str) -> list[str]:
         """The words of a text without special strings."""
-        if _KNOWN.fullmatch(text):
+        if text.isascii() or _ODD.search(text) is None:
             return self.pattern.findall(text)
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
+    def plain(self, text: str) -> bool:
+        """Whether a text has neither special strings nor code points that libraries see differently."""
+        return self.at_special.search(text) is None and (text.isascii() or _ODD.search(text) is None)
+
     def segments(self, text: str) -> Iterator[tuple[str, bool]]:
         """The text in order, cut at special strings; True for those."""
         done = 0
@@ -83,117 +93,215 @@ class Words:
             yield text[done:], False
 
 
-class Chunks:
-    """Sums of a word's value over whole texts, with the sums of chunks between single blanks kept.
-
-    A blank between two characters that are no white space always begins a word, so that texts can be cut there.
-    """
-
-    def __init__(self, words: Words, of_word: Callable[[str], object], of_special: Callable[[str], object], empty: object):
-        self.words, self.of_word, self.of_special, self.empty = words, of_word, of_special, empty
-        self.chunks, self.kept = Cache(), Cache()
+class IntMap:
+    """A fixed map from whole numbers to whole numbers, for many lookups at once; -1 for keys that it has not."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        keys, values = np.asarray(keys, np.int64), np.asarray(values, np.int32)
+        at = self._slot(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            _, first = np.unique(np.where(free, at, -1), return_index=True)
+            first = first[free[first]]
+            self.keys[at[first]], self.values[at[first]] = keys[first], values[first]
+            left = np.ones(len(keys), bool)
+            left[first] = False
+            keys, values, at = keys[left], values[left], (at[left] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.values[at], np.int32(-1))
+        wrong = np.flatnonzero((there != keys) & (there >= 0))
+        at = at[wrong]
+        while len(wrong):
+            at = (at + 1) & self.mask
+            there, want = self.keys[at], keys[wrong]
+            hit = there == want
+            out[wrong[hit]] = self.values[at[hit]]
+            on = ~hit & (there >= 0)
+            wrong, at = wrong[on], at[on]
+        return out
 
-    def parts(self, text: str) -> list:
-        """Values that add up to the text's."""
-        first, *pieces = text.split(" ")
-        values = list(map(self.chunks.young.get, pieces))
-        if None in values:
-            for i, value in enumerate(values):
-                if value is None:
-                    piece = pieces[i]
-                    if not piece or piece[0].isspace() or piece[-1].isspace():
-                        return [self._whole(text)]
-                    values[i] = self._spaced(piece)
-        if not first or first[-1].isspace():
-            return [self._whole(text)]
-        return [self._whole(first), *values]
-
-    def _spaced(self, piece: str):
-        if (value := self.chunks.get(piece)) is None:
-            value = self._whole(" " + piece)
-            self.chunks.put(piece, value)
-        return value
 
-    def _whole(self, text: str):
-        value = self.empty
-        for segment, special in self.words.segments(text):
-            if special:
-                value += self.of_special(segment)
-                continue
-            for word in self.words.cut(segment):
-                if (one := self.kept.get(word)) is None:
-                    one = self.of_word(word)
-                    if len(word) <= 64:
-                        self.kept.put(word, one)
-                value += one
-        return value
+#: Words of more bytes are rare and taken one by one.
+SHORT = 64
+#: Bytes of text whose new words are worked out together.
+TOGETHER = 2 << 20
 
 
 class Prefixes:
-    """Token counts of all prefixes, by dynamic programming over a byte-level BPE vocabulary (a ``tokenizers`` file)."""
+    """Token counts of all prefixes, by dynamic programming over a byte-level BPE vocabulary (a ``tokenizers`` file).
+
+    Ids are in order of merging: a byte's is below 256 (or it is no merge's), a merge's is above those of its halves.
+    """
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        self.ids: dict[str, int] = model["vocab"]
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.rank = {m: i for i, m in enumerate(merges)}
-        self.begun = {token[:i] for token in self.ids for i in range(1, len(token) + 1)}
-        letters = byte_alphabet()
-        self.letters = {b: letters[b] for b in range(256)}
         self.words = Words(path)
-        self.pairs = Cache()
-        self.sums = Chunks(self.words, lambda word: self.of_word(word)[-1], lambda _: 1, 0)
-
-    def merged(self, piece: str) -> list[str]:
-        """The encoding of a short byte string by its merges, lowest rank first."""
-        parts = list(piece)
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 60))
-            pair = parts[best], parts[best + 1]
-            if pair not in self.rank:
-                break
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return parts
+        letters = byte_alphabet()
+        self.byte_of = {letter: byte for byte, letter in enumerate(letters)}
+        ids = self.words.vocabulary
+        if any(ids[a + b] <= max(ids[a], ids[b]) for a, b in self.words.merges) or max(ids.values()) >= 1 << 16:
+            raise ValueError("the vocabulary's ids are not in order of merging")
+        n = max(ids.values()) + 1
+        self.left, self.right = np.arange(n), np.arange(n)
+        for a, b in self.words.merges:
+            self.left[ids[a + b]], self.right[ids[a + b]] = ids[a], ids[b]
+        pair = np.array([(ids[a] << 16 | ids[b], ids[a + b]) for a, b in self.words.merges], np.int64).reshape(-1, 2)
+        self.merge = IntMap(pair[:, 0], pair[:, 1])
+        whole = np.flatnonzero(self.left != np.arange(n))
+        whole = whole[self._apart(self.left[whole], self.right[whole], whole)]
+        alone = np.zeros(n, bool)
+        alone[[i for t, i in ids.items() if len(t) == 1]] = True
+        alone[whole] = True
+        for i in whole.tolist():  # rising ids: halves come first
+            alone[i] &= alone[self.left[i]] and alone[self.right[i]]
+        # The vocabulary as a tree over bytes: (node, byte) -> node; node -> id, of tokens that their own bytes give.
+        nodes, edges, own = {"": 0}, [], {}
+        for token, i in ids.items():
+            if token in self.words.special or not alone[i]:
+                continue
+            for k in range(1, len(token) + 1):
+                if token[:k] not in nodes:
+                    nodes[token[:k]] = len(nodes)
+                    edges.append((nodes[token[: k - 1]] << 8 | self.byte_of[token[k - 1]], nodes[token[:k]]))
+            own[nodes[token]] = i
+        edge = np.array(edges, np.int64).reshape(-1, 2)
+        self.tree = IntMap(edge[:, 0], edge[:, 1])
+        self.token = np.full(len(nodes), -1, np.int64)
+        self.token[list(own)] = list(own.values())
+        self.chunks, self.kept = Cache(), Cache()
 
-    def _compatible(self, a: str, b: str) -> bool:
-        if (known := self.pairs.get((a, b))) is None:
-            known = (self.merged(a + b) == [a, b]) if a else (self.merged(b) == [b])
-            self.pairs.put((a, b), known)
-        return known
+    def _apart(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | int = 1 << 20) -> np.ndarray:
+        """Whether bytes that encode to tokens a and b by themselves still do so side by side.
+
+        Goes back in time: as long as no merge across the border came before ``limit``, the later-made of the two
+        tokens at the border is undone, and its half at the border takes its place. Equal merges happen from the left.
+        """
+        out = np.ones(len(a), bool)
+        x, y, at = np.asarray(a, np.int64), np.asarray(b, np.int64), np.arange(len(a))
+        limit = np.broadcast_to(np.asarray(limit, np.int64), x.shape)
+        while len(at):
+            across = self.merge.get(x << 16 | y)
+            bad = (across >= 0) & (across < limit)
+            out[at[bad]] = False
+            newest_x = x > y
+            halves_x, halves_y = self.right[x], self.left[y]
+            on = ~bad & np.where(newest_x, halves_x != x, halves_y != y)
+            limit = np.where(newest_x, x, y + 1)[on]
+            x, y, at = np.where(newest_x, halves_x, x)[on], np.where(newest_x, y, halves_y)[on], at[on]
+        return out
 
-    def of_word(self, word: str) -> list[int]:
-        """Counts of a word's byte prefixes: entry i is that of its first i + 1 bytes."""
-        piece = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        ids, begun, pairs, n = self.ids, self.begun, self.pairs.young, len(piece)
-        last: list[str] = [""] * (n + 1)
-        counts = [0] * (n + 1)
-        # Tokens are tried at each place as they begin, so that a longer one is found before a shorter one of the same end.
-        for start in range(n):
-            before, count = last[start], counts[start] + 1
-            for end in range(start + 1, n + 1):
-                token = piece[start:end]
-                if token not in begun:
+    def of_words(self, words: list[bytes]) -> np.ndarray:
+        """Counts of the prefixes of words of at most SHORT bytes: entry (w, i) is that of the first i bytes of word w."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-size, kind="stable")
+        longest = int(size.max(initial=0))
+        byte = np.frombuffer(b"".join(words[i].ljust(longest, b"\0") for i in order.tolist()), np.uint8).reshape(len(words), longest)
+        byte = np.ascontiguousarray(byte.T).astype(np.int64)
+        long = [int(n) for n in np.searchsorted(-size[order], -np.arange(longest + 1), "right")]  # words of at least i bytes come first
+        last, count = np.full((longest + 1, len(words)), -1, np.int64), np.zeros((longest + 1, len(words)), np.int32)
+        for start in range(longest):
+            # Tokens are tried at each place as they begin, so that of the same end the longest is found first.
+            row, node = np.arange(long[start + 1]), np.zeros(long[start + 1], np.int64)
+            for end in range(start + 1, longest + 1):
+                on = row < long[end]
+                row, node = row[on], node[on]
+                if not len(row):
                     break
-                if not counts[end] and token in ids:
-                    if (known := pairs.get((before, token))) is None:
-                        known = self._compatible(before, token)
-                        pairs = self.pairs.young
-                    if known:
-                        last[end] = token
-                        counts[end] = count
-        return counts[1:]
-
-    def count(self, text: str) -> int:
-        return sum(self.sums.parts(text))
+                node = self.tree.get(node << 8 | byte[end - 1, row]).astype(np.int64)
+                row, node = row[node >= 0], node[node >= 0]
+                token = self.token[node]
+                new = np.flatnonzero((token >= 0) & (last[end, row] < 0))
+                if start:
+                    new = new[self._apart(last[start, row[new]], token[new])]
+                last[end, row[new]], count[end, row[new]] = token[new], count[start, row[new]] + 1
+        out = np.empty((len(words), longest + 1), np.int32)
+        out[order] = count.T
+        return out
+
+    def of_word(self, word: str) -> list[int]:
+        """Counts of one word's byte prefixes: entry i is that of its first i + 1 bytes."""
+        return self.of_words([word.encode("utf-8", "surrogatepass")])[0, 1:].tolist()
+
+    def count(self, texts: list[str]) -> list[int]:
+        """The number of tokens of every text.
+
+        A blank between two characters that are no white space always begins a word, so that texts fall into chunks
+        there, and chunks repeat. What is not yet known is worked out for all texts at once.
+        """
+        known = self.chunks.young.get
+        split, values, new, odd = [], [], set(), set()
+        for i, text in enumerate(texts):
+            first, *rest = text.split(" ")
+            own = list(map(known, rest))
+            if None in own:
+                missing = [p for p, v in zip(rest, own) if v is None]
+                if not all(p and not p[0].isspace() and not p[-1].isspace() for p in missing):
+                    odd.add(i)
+                else:
+                    new.update(missing)
+            if not first or first[-1].isspace():
+                odd.add(i)
+            split.append((first, rest))
+            values.append(own)
+        found = {p: v for p in new if (v := self.chunks.old.get(p)) is not None}
+        new -= found.keys()
+        firsts = [(None if i in odd else first) for i, (first, _) in enumerate(split)]
+        whole = [*(" " + p for p in new), *(x for x in firsts if x), *(texts[i] for i in odd)]
+        sums = iter(self._sums(whole))
+        for p, n in zip(list(new), sums):
+            found[p] = n
+        for p, n in found.items():
+            self.chunks.put(p, n)
+        of_first = {i: next(sums) for i, x in enumerate(firsts) if x}
+        of_odd = {i: next(sums) for i in odd}
+        out = []
+        for i, ((_, rest), own) in enumerate(zip(split, values)):
+            if None in own and i not in odd:
+                own = [found[p] if v is None else v for p, v in zip(rest, own)]
+            out.append(of_odd[i] if i in odd else of_first.get(i, 0) + sum(own))
+        return out
+
+    def _sums(self, texts: list[str]) -> list[int]:
+        """Token counts of texts by their words."""
+        cut, special = [], []
+        for text in texts:
+            if self.words.at_special.search(text) is None:
+                cut.append(self.words.cut(text))
+                special.append(0)
+            else:
+                parts = list(self.words.segments(text))
+                cut.append([w for x, is_special in parts if not is_special for w in self.words.cut(x)])
+                special.append(sum(is_special for _, is_special in parts))
+        found: dict[str, int] = {}
+        new: dict[str, bytes] = {}
+        for w in {w for words in cut for w in words}:
+            if (n := self.kept.get(w)) is None:
+                new[w] = w.encode("utf-8", "surrogatepass")
+            else:
+                found[w] = n
+        by_size: dict[int, list[str]] = {}
+        for w, b in new.items():
+            by_size.setdefault(min((len(b) - 1).bit_length(), SHORT.bit_length()), []).append(w)
+        for size, words in by_size.items():
+            if size >= SHORT.bit_length():
+                found.update((w, self._long(new[w])) for w in words)
+                continue
+            counts = self.of_words([new[w] for w in words])
+            for w, n in zip(words, counts[np.arange(len(words)), [len(new[w]) for w in words]].tolist()):
+                found[w] = n
+                self.kept.put(w, n)
+        return [n + sum(map(found.__getitem__, words)) for words, n in zip(cut, special)]
+
+    def _long(self, word: bytes) -> int:
+        return int(self.of_words([word])[0, -1])
 
     def of_text(self, text: str) -> np.ndarray:
         """``n_chars + 1`` counts: entry i is the number of tokens of ``text[:i]`` by itself."""
@@ -270,15 +378,20 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter: Prefixes = loaded(Prefixes, path)
         for batch in batches:
-            n_bytes, n_tokens, all_ = [], [], []
-            for text in utf8(batch.column(1)):
-                text = text or b""
-                n_bytes.append(len(text))
-                if prefixes:
-                    all_.append(counter.of_text(text.decode("utf-8", "replace")))
-                    n_tokens.append(int(all_[-1][-1]))
-                else:
-                    n_tokens.append(counter.count(text.decode("utf-8", "replace")))
+            texts = [x or b"" for x in utf8(batch.column(1))]
+            n_bytes, n_tokens, all_ = list(map(len, texts)), [], []
+            if prefixes:
+                all_ = [counter.of_text(x.decode("utf-8", "replace")) for x in texts]
+                n_tokens = [int(x[-1]) for x in all_]
+            else:
+                low = 0
+                while low < len(texts):
+                    high, size = low, 0
+                    while high < len(texts) and size < TOGETHER:
+                        size += n_bytes[high]
+                        high += 1
+                    n_tokens += counter.count([x.decode("utf-8", "replace") for x in texts[low:high]])
+                    low = high
             columns = [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())] + [pa.array(all_, pa.list_(pa.int32()))] * prefixes
             yield pa.RecordBatch.from_arrays(columns, [id_col, "n_bytes", "n_tokens", "prefix_tokens"][: len(columns)])
 
