@@ -95,8 +95,8 @@ def set_bits(bits: Column) -> Column:
 
 def bits_to_bytes(bits: Column) -> Column:
     """A bit string, highest bit first, as bytes; its length is a multiple of 8 (OP-63)."""
-    octets = F.sequence(F.lit(0), F.length(bits) / 8 - 1)
-    return F.unhex(F.array_join(F.transform(octets.cast("array<int>"), lambda i: F.lpad(F.conv(F.substr(bits, i * 8 + 1, F.lit(8)), 2, 16), 2, "0")), ""))
+    octets = F.sequence(F.lit(0), (F.length(bits) / 8 - 1).cast("int"))
+    return F.unhex(F.array_join(F.transform(octets, lambda i: F.lpad(F.conv(F.substr(bits, i * 8 + 1, F.lit(8)), 2, 16), 2, "0")), ""))
 
 
 def all_zero(b: Column) -> Column:
@@ -107,7 +107,8 @@ def all_zero(b: Column) -> Column:
 def varint_size(n: Column) -> Column:
     """Bytes of a non-negative number as a varint of 7 bits each (OP-66)."""
     size = F.lit(10)
-    for k in range(9, 0, -1):
+    size = F.when(n >= 0, 9).otherwise(size)
+    for k in range(8, 0, -1):
         size = F.when(n < (1 << (7 * k)), k).otherwise(size)
     return F.when(n < 0, 10).otherwise(size)
 

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import long_to_key
 from .codec import WORD
@@ -60,32 +61,40 @@ def _mask(crc: np.ndarray) -> np.ndarray:
     return ((crc >> 15) | (crc << 17)) + np.uint32(0xA282EAD8)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def crc32c(values: pd.Series) -> pd.Series:
     """CRC-32C of bytes, unsigned (OP-64)."""
     return pd.Series(crc32c_of(values.tolist()).astype(np.int64))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def crc32c_masked(values: pd.Series) -> pd.Series:
     """CRC-32C of bytes in its stored form (OP-64)."""
     return pd.Series(_mask(crc32c_of(values.tolist())).astype(np.int64))
 
 
-def shortest_separator(start: Column, limit: Column) -> Column:
-    """A shortest byte string from ``start`` on and below ``limit``; ``start`` itself where raising the first differing
-    byte by one would reach ``limit`` (OP-62)."""
-    a, b = F.hex(start), F.hex(limit)
-    octet = lambda h, i: F.conv(F.substr(h, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
-    places = F.sequence(F.lit(0), F.least(F.length(start), F.length(limit)) - 1)
-    at = F.array_min(F.filter(places, lambda i: octet(a, i) != octet(b, i)))
-    raised = F.unhex(F.concat(F.substr(a, F.lit(1), 2 * at), F.lpad(F.hex(octet(a, at) + 1), 2, "0")))
-    return F.when((F.length(start) > 0) & (F.length(limit) > 0) & at.isNotNull() & (octet(a, at) + 1 < octet(b, at)), raised).otherwise(start)
+def separator_of(start: bytes, limit: bytes) -> bytes:
+    """A shortest byte string above ``start`` and below ``limit``; ``start`` itself where raising the first differing
+    byte by one would reach ``limit``, or where one is the other's beginning."""
+    at = next((i for i, (a, b) in enumerate(zip(start, limit)) if a != b), None)
+    if at is None or start[at] + 1 >= limit[at]:
+        return start
+    return start[:at] + bytes([start[at] + 1])
 
 
-def short_successor(key: Column) -> Column:
-    """The key cut behind its first byte that is not 0xFF, which is raised by one; all 0xFF stays (OP-62)."""
-    h = F.hex(key)
-    octet = lambda i: F.conv(F.substr(h, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
-    at = F.array_min(F.filter(F.sequence(F.lit(0), F.length(key) - 1), lambda i: octet(i) != 255))
-    return F.when((F.length(key) > 0) & at.isNotNull(), F.unhex(F.concat(F.substr(h, F.lit(1), 2 * at), F.lpad(F.hex(octet(at) + 1), 2, "0")))).otherwise(key)
+def successor_of(key: bytes) -> bytes:
+    """The key cut behind its first byte that is not 0xFF, which is raised by one; all 0xFF stays."""
+    at = next((i for i, b in enumerate(key) if b != 0xFF), None)
+    return key if at is None else key[:at] + bytes([key[at] + 1])
+
+
+@F.pandas_udf(T.BinaryType())
+def shortest_separator(start: pd.Series, limit: pd.Series) -> pd.Series:
+    """``separator_of`` for columns; null where either is (OP-62)."""
+    return pd.Series([None if a is None or b is None else separator_of(a, b) for a, b in zip(start, limit)], dtype=object)
+
+
+@F.pandas_udf(T.BinaryType())
+def short_successor(key: pd.Series) -> pd.Series:
+    """``successor_of`` for a column; null stays (OP-62)."""
+    return pd.Series([None if k is None else successor_of(k) for k in key], dtype=object)

@@ -69,7 +69,7 @@ def _cuts(df: DataFrame, key: str) -> list[int]:
     n = min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if n < 2:
         return []
-    return sorted({int(x) for x in df.approxQuantile(key, [i / n for i in range(1, n)], 0.25 / n)})
+    return sorted({min(int(x), (1 << 63) - 1) for x in df.approxQuantile(key, [i / n for i in range(1, n)], 0.25 / n)})
 
 
 def _bucket(k: Column, cuts: list[int]) -> Column:
