@@ -63,12 +63,16 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, fp long")
 
 
-def layouts(budget: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """For each choice of two of ``budget + 2`` blocks: the bits on top, and all blocks ``(shift, width)`` in trie order."""
-    n = budget + 2
+def layouts(budget: int, agree: int = 2) -> list[tuple[int, list[tuple[int, int]]]]:
+    """For each choice of ``agree`` of ``budget + agree`` blocks: the bits on top, and all blocks ``(shift, width)`` in trie order.
+
+    Two fingerprints within the budget agree on some such choice whole. More blocks that agree mean smaller buckets
+    and more copies of each fingerprint: two suit up to about a billion fingerprints, three more than that.
+    """
+    n = budget + agree
     edges = [64 * i // n for i in range(n + 1)]
     blocks = [(edges[i], edges[i + 1] - edges[i]) for i in range(n)]
-    return [(sum(blocks[i][1] for i in top), [blocks[i] for i in top] + [b for i, b in enumerate(blocks) if i not in top]) for top in combinations(range(n), 2)]
+    return [(sum(blocks[i][1] for i in top), [blocks[i] for i in top] + [b for i, b in enumerate(blocks) if i not in top]) for top in combinations(range(n), agree)]
 
 
 def _arranged(fp: "F.Column", blocks: list[tuple[int, int]]) -> "F.Column":
@@ -165,13 +169,13 @@ def _one_set(label: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray,
     return (change[a0] == change[a1 - 1]) & (change[b0] == change[b1 - 1]) & (label[a0] == label[b0])
 
 
-def links(fps: DataFrame, budget: int = 4) -> DataFrame:
+def links(fps: DataFrame, budget: int = 4, agree: int = 2) -> DataFrame:
     """Edges ``a, b`` between distinct fingerprints (column ``fp``) whose components are those of all links.
 
     A bucket yields at most one edge a leaf, never its pairs. A bucket of more than BUCKET leaves is cut by a hash of
     the leaf into parts of about that size, and every two of its parts meet in a task of their own.
     """
-    plans = layouts(budget)
+    plans = layouts(budget, agree)
     depth = min(x[0] for x in plans)
     spread = fps.select(F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("plan"), _arranged(F.col("fp"), b).alias("leaf"), F.lit(64 - top).alias("below")) for i, (top, b) in enumerate(plans)])).alias("x")).select("x.*")
     spread = spread.select("plan", "leaf", F.expr("shiftrightunsigned(leaf, below)").alias("top"))
@@ -230,7 +234,7 @@ def _solve(rows: np.ndarray, depth: int, budget: int) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(rows[moved, 0].astype(np.int8)), pa.array(rows[moved, 4]), pa.array(rows[label[moved], 4])], ["plan", "a", "b"])
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, budget: int = 4) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, budget: int = 4, agree: int = 2) -> DataFrame:
     """``id, fp, component_id`` for every row of ``docs``.
 
     Words are runs of anything but ASCII white space, with A-Z lower-cased; shingles are ``words`` of them, repeats
@@ -242,7 +246,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ready(docs.sparkSession)
     marked = stored(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), words))
     distinct = stored(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(links(distinct.select("fp"), budget))
+    roots = components(links(distinct.select("fp"), budget, agree))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.join(least, "root").select("fp", "component_id")
