@@ -18,24 +18,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ready, stored, utf8
-from .tokens import Chunks, Words, byte_alphabet, loaded
+from .tokens import WORDS, Words, byte_alphabet, loaded
 
 
 class Ids:
-    """Token ids of texts as little-endian unsigned 32-bit numbers."""
+    """Token ids of texts, as the ``tokenizers`` file at ``path`` gives them, as little-endian unsigned 32-bit numbers.
 
-    def __init__(self, path: str):
-        words = Words(path)
-        letters, model, tokenizer = dict(enumerate(byte_alphabet())), words.tokenizer.model, words.tokenizer
+    The file's vocabulary is a byte-level BPE whose ids are the merges' ranks, so ordinary text is encoded by the faster
+    library for such ranks. Special strings, and texts with code points on which the two libraries' Unicode tables may
+    differ, are left to the file's own tokenizer.
+    """
 
-        def of_word(word: str) -> bytes:
-            piece = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters)
-            return np.array([t.id for t in model.tokenize(piece)], "<u4").tobytes()
+    def __init__(self, path: str):
+        import tiktoken
 
-        self.parts = Chunks(words, of_word, lambda s: np.array([tokenizer.token_to_id(s)], "<u4").tobytes(), b"").parts
+        self.words = Words(path)
+        back = {letter: byte for byte, letter in enumerate(byte_alphabet())}
+        ranks = {bytes(map(back.__getitem__, token)): i for token, i in self.words.vocabulary.items() if token not in self.words.special}
+        self.encode = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
     def of(self, text: str) -> bytes:
-        return b"".join(self.parts(text))
+        if self.words.plain(text):
+            return self.encode(text, disallowed_special=()).astype("<u4").tobytes()
+        return np.array(self.words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, path: str, length: int = 1024) -> DataFrame:
