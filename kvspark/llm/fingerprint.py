@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         sampler = Sampler(samples)
         for batch in batches:
             texts = [x or b"" for x in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x.decode("utf-8", "replace")) for x in texts], pa.int64()), pa.array([sampler.of(x).hex() for x in texts])], [id_col, "n_chars", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x.decode("utf-8", "replace")) for x in texts], pa.int64()), pa.array([sampler.of(x).hex() for x in texts], pa.string())], [id_col, "n_chars", "fingerprint"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_chars long, fingerprint string")
 

@@ -133,7 +133,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                     sums.setdefault(lang, np.zeros(BUCKETS, np.int64))[bucket] += c
         for lang, own in sums.items():
             found = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(found.astype(np.int32)), pa.array(own[found])], ["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int32)), pa.array(own[found])], ["lang", "bucket", "n"])
 
     total = drawn.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(names), BUCKETS))
@@ -184,7 +184,7 @@ def identify(docs: DataFrame, model: Mixture, text_col: str = "text") -> DataFra
                     if size > FLAT:
                         settle()
             settle()
-            made = {"lang_pred": pa.array(pred), "lang_score": pa.array(score, pa.float64()), "lang_shares": pa.array(shares, pa.map_(pa.string(), pa.float64()))}
+            made = {"lang_pred": pa.array(pred, pa.string()), "lang_score": pa.array(score, pa.float64()), "lang_shares": pa.array(shares, pa.map_(pa.string(), pa.float64()))}
             yield pa.RecordBatch.from_arrays([made[x] if x in made else batch.column(x) for x in schema.names], schema.names)
 
     return kept.mapInArrow(run, schema)

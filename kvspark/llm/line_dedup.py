@@ -102,7 +102,7 @@ class Runs:
 
 def _batches(docs: DataFrame, n: int) -> list[tuple[int | None, int | None]]:
     """``n`` ranges [low, high) of rid of about as many documents each, rising."""
-    at = docs.approxQuantile("rid", [i / n for i in range(1, n)], 0.01)
+    at = [] if n < 2 else docs.approxQuantile("rid", [i / n for i in range(1, n)], 0.01)
     cuts = sorted({int(x) for x in at})
     return list(zip([None, *cuts], [*cuts, None]))
 
