@@ -75,12 +75,21 @@ def layouts(budget: int, agree: int = 2) -> list[tuple[int, list[tuple[int, int]
     return [(sum(blocks[i][1] for i in top), [blocks[i] for i in top] + [b for i, b in enumerate(blocks) if i not in top]) for top in combinations(range(n), agree)]
 
 
-def _arranged(fp: "F.Column", blocks: list[tuple[int, int]]) -> "F.Column":
-    """The fingerprint with its blocks in trie order, the first in the highest bits."""
-    out, left = F.lit(0).cast("long"), 64
+def _arranged(fp: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
+    """Fingerprints with their blocks in trie order, the first in the highest bits."""
+    out, left = np.zeros(len(fp), np.uint64), 64
     for shift, width in blocks:
         left -= width
-        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1)), left))
+        out |= (fp >> np.uint64(shift) & np.uint64((1 << width) - 1)) << np.uint64(left)
+    return out
+
+
+def _restored(leaf: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
+    """The inverse of ``_arranged``."""
+    out, left = np.zeros(len(leaf), np.uint64), 64
+    for shift, width in blocks:
+        left -= width
+        out |= (leaf >> np.uint64(left) & np.uint64((1 << width) - 1)) << np.uint64(shift)
     return out
 
 
@@ -176,9 +185,7 @@ def links(fps: DataFrame, budget: int = 4, agree: int = 2) -> DataFrame:
     the leaf into parts of about that size, and every two of its parts meet in a task of their own.
     """
     plans = layouts(budget, agree)
-    depth = min(x[0] for x in plans)
-    spread = fps.select(F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("plan"), _arranged(F.col("fp"), b).alias("leaf"), F.lit(64 - top).alias("below")) for i, (top, b) in enumerate(plans)])).alias("x")).select("x.*")
-    spread = spread.select("plan", "leaf", F.expr("shiftrightunsigned(leaf, below)").alias("top"))
+    spread = fps.select("fp").mapInArrow(_spreader(plans), "plan short, leaf long, top long")
     sizes = spread.groupBy("plan", "top").count().where(F.col("count") > 1)
     parts = sizes.select("plan", "top", F.ceil(F.col("count") / BUCKET).cast("int").alias("parts"))
     met = spread.join(parts, ["plan", "top"])
@@ -186,21 +193,21 @@ def links(fps: DataFrame, budget: int = 4, agree: int = 2) -> DataFrame:
     met = met.withColumn("part", part).select("plan", "top", "leaf", "part", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("p"), F.greatest(o, F.col("part")).alias("q")))).alias("cell"))
     met = met.select("plan", "top", "cell.p", "cell.q", "leaf")
     tasks = met.repartition("plan", "top", "p", "q").sortWithinPartitions("plan", "top", "p", "q", "leaf")
-    edges = tasks.mapInArrow(_runner(depth, budget), "plan byte, a long, b long")
-    back = [F.when(F.col("plan") == i, F.struct(_restored(F.col("a"), b).alias("a"), _restored(F.col("b"), b).alias("b"))) for i, (_, b) in enumerate(plans)]
-    return edges.select(F.coalesce(*back).alias("x")).select("x.a", "x.b").distinct()
+    return tasks.mapInArrow(_runner(plans, budget), "a long, b long").distinct()
 
 
-def _restored(leaf: "F.Column", blocks: list[tuple[int, int]]) -> "F.Column":
-    """The inverse of ``_arranged``."""
-    out, left = F.lit(0).cast("long"), 64
-    for shift, width in blocks:
-        left -= width
-        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(leaf, left).bitwiseAND(F.lit((1 << width) - 1)), shift))
-    return out
+def _spreader(plans: list[tuple[int, list[tuple[int, int]]]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for i, (top, blocks) in enumerate(plans):
+                leaf = _arranged(fp, blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), i, np.int16)), pa.array(leaf.view(np.int64)), pa.array((leaf >> np.uint64(64 - top)).view(np.int64))], ["plan", "leaf", "top"])
+
+    return run
 
 
-def _runner(depth: int, budget: int):
+def _runner(plans: list[tuple[int, list[tuple[int, int]]]], budget: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         for batch in batches:
@@ -212,14 +219,14 @@ def _runner(depth: int, budget: int):
             cut = len(rows) if not same.any() else int(np.argmax(same))
             held = [rows[cut:]]
             if cut:
-                yield from _solve(rows[:cut], depth, budget)
+                yield from _solve(rows[:cut], plans, budget)
         if held and len(held[0]):
-            yield from _solve(held[0], depth, budget)
+            yield from _solve(held[0], plans, budget)
 
     return run
 
 
-def _solve(rows: np.ndarray, depth: int, budget: int) -> Iterator[pa.RecordBatch]:
+def _solve(rows: np.ndarray, plans: list[tuple[int, list[tuple[int, int]]]], budget: int) -> Iterator[pa.RecordBatch]:
     """Edges of whole buckets. Signed order and trie order differ only by the top bit, in which a bucket agrees."""
     leaves = np.ascontiguousarray(rows[:, 4]).view(np.uint64)
     starts = np.flatnonzero(np.concatenate([[True], (rows[1:, :4] != rows[:-1, :4]).any(1)]))
@@ -228,10 +235,12 @@ def _solve(rows: np.ndarray, depth: int, budget: int) -> Iterator[pa.RecordBatch
     starts, ends = starts[big], ends[big]
     if not len(starts):
         return
-    label = trie_links(leaves, np.stack([starts, ends], 1), depth, budget)
+    label = trie_links(leaves, np.stack([starts, ends], 1), min(top for top, _ in plans), budget)
     moved = np.flatnonzero(label != np.arange(len(label)))
-    if len(moved):
-        yield pa.RecordBatch.from_arrays([pa.array(rows[moved, 0].astype(np.int8)), pa.array(rows[moved, 4]), pa.array(rows[label[moved], 4])], ["plan", "a", "b"])
+    for plan in np.unique(rows[moved, 0]).tolist():
+        own = moved[rows[moved, 0] == plan]
+        a, b = (_restored(leaves[at], plans[plan][1]).view(np.int64) for at in (own, label[own]))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, budget: int = 4, agree: int = 2) -> DataFrame:
