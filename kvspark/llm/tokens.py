@@ -131,7 +131,7 @@ class IntMap:
 
 
 #: Words of more bytes are rare and taken one by one.
-SHORT = 64
+SHORT = 1024
 #: Bytes of text whose new words are worked out together.
 TOGETHER = 2 << 20
 
@@ -176,7 +176,8 @@ class Prefixes:
         self.tree = IntMap(edge[:, 0], edge[:, 1])
         self.token = np.full(len(nodes), -1, np.int64)
         self.token[list(own)] = list(own.values())
-        self.chunks, self.kept = Cache(), Cache()
+        self.edges = dict(edges)
+        self.chunks, self.kept, self.pairs = Cache(), Cache(), Cache()
 
     def _apart(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | int = 1 << 20) -> np.ndarray:
         """Whether bytes that encode to tokens a and b by themselves still do so side by side.
@@ -228,7 +229,30 @@ class Prefixes:
 
     def of_word(self, word: str) -> list[int]:
         """Counts of one word's byte prefixes: entry i is that of its first i + 1 bytes."""
-        return self.of_words([word.encode("utf-8", "surrogatepass")])[0, 1:].tolist()
+        data = word.encode("utf-8", "surrogatepass")
+        return self.of_words([data])[0, 1:].tolist() if len(data) <= SHORT else self._long(data)
+
+    def _long(self, word: bytes) -> list[int]:
+        """The same programme for one long word, a byte at a time; its time is in proportion to its length."""
+        n, edges, known = len(word), self.edges, self.pairs
+        last, count = [-1] * (n + 1), [0] * (n + 1)
+        for start in range(n):
+            node, before = 0, last[start]
+            for end in range(start, n):
+                if (node := edges.get(node << 8 | word[end])) is None:
+                    break
+                token = int(self.token[node])
+                if token < 0 or last[end + 1] >= 0:
+                    continue
+                if start:
+                    pair = before << 16 | token
+                    if (fits := known.get(pair)) is None:
+                        fits = bool(self._apart(np.array([before]), np.array([token]))[0])
+                        known.put(pair, fits)
+                    if not fits:
+                        continue
+                last[end + 1], count[end + 1] = token, count[start] + 1
+        return count[1:]
 
     def count(self, texts: list[str]) -> list[int]:
         """The number of tokens of every text.
@@ -289,10 +313,10 @@ class Prefixes:
                 found[w] = n
         by_size: dict[int, list[str]] = {}
         for w, b in new.items():
-            by_size.setdefault(min((len(b) - 1).bit_length(), SHORT.bit_length()), []).append(w)
+            by_size.setdefault(SHORT.bit_length() if len(b) > SHORT else (len(b) - 1).bit_length(), []).append(w)
         for size, words in by_size.items():
             if size >= SHORT.bit_length():
-                found.update((w, self._long(new[w])) for w in words)
+                found.update((w, self._long(new[w])[-1]) for w in words)
                 continue
             counts = self.of_words([new[w] for w in words])
             for w, n in zip(words, counts[np.arange(len(words)), [len(new[w]) for w in words]].tolist()):
@@ -300,9 +324,6 @@ class Prefixes:
                 self.kept.put(w, n)
         return [n + sum(map(found.__getitem__, words)) for words, n in zip(cut, special)]
 
-    def _long(self, word: bytes) -> int:
-        return int(self.of_words([word])[0, -1])
-
     def of_text(self, text: str) -> np.ndarray:
         """``n_chars + 1`` counts: entry i is the number of tokens of ``text[:i]`` by itself."""
         out = np.zeros(len(text) + 1, np.int32)
