@@ -34,7 +34,7 @@ class Ids:
 
         self.words = Words(path)
         back = {letter: byte for byte, letter in enumerate(byte_alphabet())}
-        ranks = {bytes(map(back.__getitem__, token)): i for token, i in self.words.vocabulary.items() if token not in self.words.special}
+        ranks = {bytes(map(back.__getitem__, token)): i for token, i in self.words.model()[0].items() if token not in self.words.special}
         self.encode = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
     def of(self, text: str) -> bytes:

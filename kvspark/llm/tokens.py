@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -57,20 +58,27 @@ class Cache:
 
 
 class Words:
-    """The tokenizer at ``path``, and texts cut as it cuts them."""
+    """The tokenizer at ``path``, and texts cut as it cuts them. The library is loaded only for texts that need it."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        self.vocabulary: dict[str, int] = model["vocab"]
-        self.merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.pattern = regex.compile(WORDS)
         self.at_special = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def model(self) -> tuple[dict[str, int], list[tuple[str, str]]]:
+        """The vocabulary and the merges in order; read anew each time, as they are needed only to build tables."""
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        return model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+
     def cut(self, text: str) -> list[str]:
         """The words of a text without special strings."""
         if text.isascii() or _ODD.search(text) is None:
@@ -146,14 +154,14 @@ class Prefixes:
         self.words = Words(path)
         letters = byte_alphabet()
         self.byte_of = {letter: byte for byte, letter in enumerate(letters)}
-        ids = self.words.vocabulary
-        if any(ids[a + b] <= max(ids[a], ids[b]) for a, b in self.words.merges) or max(ids.values()) >= 1 << 16:
+        ids, merges = self.words.model()
+        if any(ids[a + b] <= max(ids[a], ids[b]) for a, b in merges) or max(ids.values()) >= 1 << 16:
             raise ValueError("the vocabulary's ids are not in order of merging")
         n = max(ids.values()) + 1
         self.left, self.right = np.arange(n), np.arange(n)
-        for a, b in self.words.merges:
+        for a, b in merges:
             self.left[ids[a + b]], self.right[ids[a + b]] = ids[a], ids[b]
-        pair = np.array([(ids[a] << 16 | ids[b], ids[a + b]) for a, b in self.words.merges], np.int64).reshape(-1, 2)
+        pair = np.array([(ids[a] << 16 | ids[b], ids[a + b]) for a, b in merges], np.int64).reshape(-1, 2)
         self.merge = IntMap(pair[:, 0], pair[:, 1])
         whole = np.flatnonzero(self.left != np.arange(n))
         whole = whole[self._apart(self.left[whole], self.right[whole], whole)]
