@@ -182,7 +182,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.round(F.avg(label_col)).cast("int").alias("label"))
     rate = rows / max(1, known.count())
     known = known.where(F.shiftrightunsigned(F.xxhash64(F.lit("draw"), "id"), 11).cast("double") / float(1 << 53) < rate)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(known, "id")
+    # At most a few more than ``rows`` ids of a fixed width: small enough to broadcast at any size of the tables.
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
     table = described(texts, "text", ["id", "label"]).toPandas()
     order = np.lexsort((table.label, table.id))
     x = np.array(table.f.to_list(), np.float64).reshape(-1, len(FEATURES))[order]
