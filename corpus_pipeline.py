@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvspark.llm import decontaminate, language, line_dedup, packing, simhash
+from kvspark.llm import decontaminate, jaccard, language, line_dedup, packing
 from kvspark.llm.common import fold, shared_dir, table
 from kvspark.llm.queries import tokenizer_path
 
@@ -40,12 +40,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of fingerprints of five-word shingles within six of 64 bits (likeness 0.9).
+    """Keeps the smallest id of each group of documents linked by sets of five-word shingles of similarity 0.8 or more.
 
     Documents without an id belong to no group and stay.
     """
     named = docs.where(F.col("doc_id").isNotNull())
-    kept = simhash.near_dedup(named, words=5, budget=6, agree=2).select(F.col("component_id").alias("doc_id")).distinct()
+    marked, roots = jaccard.groups(named.select("doc_id", "text"), words=5)
+    rooted = marked.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    kept = rooted.groupBy("root").agg(F.min("id").alias("doc_id")).select("doc_id").distinct()
     return named.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 

@@ -1,0 +1,235 @@
+"""Groups of texts whose shingle sets have a Jaccard similarity of 0.8 or more, by prefix filtering: no such pair is missed.
+
+All sets are put in one order of shingles, rare ones first. Two sets of sizes m and n that are similar enough share one at
+least of the first ``n - ceil(0.8 n) + 1`` shingles, so that only those prefixes are shuffled and meet. How many prefix
+shingles a pair shares bounds its overlap from above; pairs that the bound leaves are confirmed on the whole sets.
+Sets are of 64-bit hashes of shingles, and a set goes by a 64-bit hash of it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import ready, stored, utf8
+from .components import components
+from .simhash import shingles
+
+#: The least similarity, P / Q.
+P, Q = 4, 5
+#: Buckets in which occurrences are counted, for the order of shingles only.
+BUCKETS = 1 << 20
+#: Rounds in which each set meets one other of each prefix shingle, before all that are still apart meet.
+STARS = 2
+#: Pairs in one batch.
+BATCH = 1 << 16
+
+
+def shingle_set(text: bytes | None, words: int = 5) -> np.ndarray:
+    """The distinct shingles' hashes in ascending order; empty for a text without words."""
+    return np.unique(shingles(text, words))
+
+
+def node_of(held: np.ndarray) -> int:
+    """The name of a set, as a signed long."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(held.tobytes())).view(np.int64))
+
+
+def _bucket(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(44)).astype(np.int64)
+
+
+def _counted(df: DataFrame, values) -> np.ndarray:
+    """How many of the values that ``values(column)`` gives for the first column of ``df`` fall into each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            total += np.bincount(_bucket(values(batch.column(0))), minlength=BUCKETS)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    tables = df.mapInArrow(run, "total binary").rdd.map(lambda r: np.frombuffer(bytes(r[0]), np.int64))
+    return tables.treeReduce(np.add) if tables.getNumPartitions() else np.zeros(BUCKETS, np.int64)
+
+
+def _all_shingles(words: int):
+    def values(column: pa.Array) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *(shingle_set(x, words) for x in utf8(column))])
+
+    return values
+
+
+def _longs(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
+
+
+def sets(docs: DataFrame, words: int, order: np.ndarray) -> DataFrame:
+    """``id, node, n, prefix`` of every row of ``docs`` (id, text). order: each bucket's rank."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, prefixes = [], [], []
+            for text in utf8(batch.column(1)):
+                held = shingle_set(text, words)
+                n = len(held)
+                nodes.append(node_of(held))
+                sizes.append(n)
+                first = np.lexsort((held, order[_bucket(held)]))[: n - -(-P * n // Q) + 1]
+                prefixes.append(held[first].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.binary())], ["id", "node", "n", "prefix"])
+
+    return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, node long, n int, prefix binary")
+
+
+def _whole(texts: DataFrame, words: int, wanted: np.ndarray) -> DataFrame:
+    """``node, held`` of the texts whose node is in a wanted bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {}
+            for text in utf8(batch.column(0)):
+                held = shingle_set(text, words)
+                node = node_of(held)
+                if wanted[_bucket(np.array([node], np.int64).view(np.uint64))[0]]:
+                    found[node] = held.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["node", "held"])
+
+    return texts.mapInArrow(run, "node long, held binary")
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+        sizes = [len(x) for x in tokens]
+        node, n = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), sizes) for i in (0, 1))
+        token = np.concatenate([np.zeros(0, np.int64), *tokens])
+        for i in range(0, len(token), BATCH):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + BATCH]) for x in (token, node.astype(np.int64), n.astype(np.int32))], ["token", "node", "n"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of whole groups of equal first column, and where the groups of two rows or more begin and end."""
+    held = None
+    for batch in batches:
+        rows = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), np.int64) for c in batch.columns], 1)
+        rows = rows if held is None else np.concatenate([held, rows])
+        if not len(rows):
+            continue
+        # The last group may go on in the next batch.
+        cut = int(np.argmax(rows[:, 0] == rows[-1, 0]))
+        held = rows[cut:]
+        yield from _bounds(rows[:cut])
+    if held is not None:
+        yield from _bounds(held)
+
+
+def _bounds(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    if len(rows):
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+        ends = np.append(starts[1:], len(rows))
+        big = ends - starts > 1
+        if big.any():
+            yield rows, starts[big], ends[big]
+
+
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of groups of two rows or more."""
+    for rows, starts, ends in _groups(batches):
+        step = np.zeros(len(rows) + 1, np.int64)
+        step[starts] += 1
+        step[ends] -= 1
+        rows = rows[np.cumsum(step)[:-1] > 0]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32))], ["token", "node", "n"])
+
+
+def _pairs(batch: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    rows = np.concatenate(batch)
+    yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3].astype(np.int32))], ["a", "b", "m", "n"])
+
+
+def _meet(star: bool, salt: int):
+    """``a, b, m, n`` for each pair of one group (token, node, n, root) that is apart and of sizes that can be similar.
+
+    star: only pairs with the group's centre, the least node after the salt's bits are turned.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, waiting = [], 0
+        for rows, starts, ends in _groups(batches):
+            for s, e in zip(starts.tolist(), ends.tolist()):
+                group = rows[s:e]
+                if (group[:, 3] == group[0, 3]).all():
+                    continue
+                firsts = [int(np.argmin(group[:, 1] ^ salt))] if star else range(len(group) - 1)
+                for i in firsts:
+                    one, rest = group[i], group if star else group[i + 1 :]
+                    rest = rest[(rest[:, 3] != one[3]) & (Q * np.minimum(rest[:, 2], one[2]) >= P * np.maximum(rest[:, 2], one[2]))]
+                    if len(rest):
+                        less = one[1] < rest[:, 1]
+                        mine, size = np.full(len(rest), one[1]), np.full(len(rest), one[2])
+                        made.append(np.stack([np.where(less, mine, rest[:, 1]), np.where(less, rest[:, 1], mine), np.where(less, size, rest[:, 2]), np.where(less, rest[:, 2], size)], 1))
+                        waiting += len(rest)
+                        if waiting >= BATCH:
+                            yield from _pairs(made)
+                            made, waiting = [], 0
+        if made:
+            yield from _pairs(made)
+
+    return run
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            keep.append((P + Q) * len(np.intersect1d(x, y, assume_unique=True)) >= P * (len(x) + len(y)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame | None:
+    """``a, b`` of the pairs (one row for each shared prefix shingle) whose whole sets are similar enough.
+
+    Whole sets are made anew, and only of texts in a pair that the bound leaves.
+    """
+    # At most all that lies beyond the shorter prefix is shared besides; the larger set has more of it.
+    beyond = F.expr(f"({P} * greatest(m, n) + {Q - 1}) div {Q} - 1")
+    least = F.expr(f"({P} * (m + n) + {P + Q - 1}) div {P + Q}")
+    left = stored(pairs.groupBy("a", "b", "m", "n").count().where(F.col("count") + beyond >= least).select("a", "b"))
+    if left.isEmpty():
+        return None
+    nodes = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
+    held = _whole(texts, words, _counted(nodes, _longs) > 0).join(nodes, "node", "left_semi").groupBy("node").agg(F.first("held").alias("held"))
+    both = left.join(held.select(F.col("node").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("held").alias("y")), "b")
+    return stored(both.select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"))
+
+
+def groups(docs: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame]:
+    """``id, node`` of every row of ``docs`` (id, text), and ``node, root`` of the nodes that have a similar other.
+
+    Rows of one node have equal shingle sets; texts without words share one. Nodes of one root are linked by pairs of
+    similarity 0.8 or more. The pairs of a group that lie in one component already do not meet again, so a group of
+    near copies costs a few edges a text, not its pairs.
+    """
+    ready(docs.sparkSession)
+    texts = docs.select(docs.columns[1])
+    seen = _counted(texts, _all_shingles(words))
+    marked = stored(sets(docs, words, np.frexp(seen)[1].astype(np.uint8)))
+    nodes = marked.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    spread = nodes.select("node", "n", "prefix").mapInArrow(_spread, "token long, node long, n int")
+    shared = stored(spread.repartition("token").sortWithinPartitions("token").mapInArrow(_several, "token long, node long, n int"))
+    edges = docs.sparkSession.createDataFrame([], "a long, b long")
+    roots = docs.sparkSession.createDataFrame([], "node long, root long")
+    for i in range(STARS + 1):
+        at = shared.join(roots, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
+        met = at.repartition("token").sortWithinPartitions("token").mapInArrow(_meet(i < STARS, i * 0x2545F4914F6CDD1D), "a long, b long, m int, n int")
+        found = _confirmed(met, texts, words)
+        if found is not None:
+            edges = edges.unionByName(found)
+            roots = components(edges)
+    return marked.select("id", "node"), roots

@@ -28,18 +28,23 @@ BUCKET = 1 << 13
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
-    """The SimHash of a UTF-8 text's word shingles, each counted as often as it occurs."""
+def shingles(text: bytes | None, words: int = 4, seed: int = 42) -> np.ndarray:
+    """The hashes of a UTF-8 text's word shingles, repeats included."""
     found = (text or b"").lower().split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     flat = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     last = ends[words - 1 :].tolist() or [len(flat)]
     starts = [0, *(ends[: len(last) - 1] + 1).tolist()]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(flat[s:e], seed) for s, e in zip(starts, last)), np.uint64, len(last))
-    return _majority(hashes)
+    return np.fromiter((digest(flat[s:e], seed) for s, e in zip(starts, last)), np.uint64, len(last))
+
+
+def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
+    """The SimHash of a UTF-8 text's word shingles, each counted as often as it occurs."""
+    hashes = shingles(text, words, seed)
+    return _majority(hashes) if len(hashes) else 0
 
 
 def _majority(hashes: np.ndarray) -> int:
