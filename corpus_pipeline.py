@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvspark.llm import decontaminate, jaccard, language, line_dedup, packing
@@ -40,15 +40,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of documents linked by sets of five-word shingles of similarity 0.8 or more.
+    """Keeps one document of each group linked by sets of five-word shingles of similarity 0.8 or more.
 
-    Documents without an id belong to no group and stay.
+    It is the one of the smallest id; a row without an id stays only if its group has none with one. Of rows that share
+    that id one stays.
     """
-    named = docs.where(F.col("doc_id").isNotNull())
-    marked, roots = jaccard.groups(named.select("doc_id", "text"), words=5)
+    row = F.xxhash64(*docs.columns)
+    marked, roots = jaccard.groups(docs.select(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", row.alias("row")).alias("id"), "text"), words=5)
     rooted = marked.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("id").alias("doc_id")).select("doc_id").distinct()
-    return named.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = rooted.groupBy("root").agg(F.min("id").alias("id")).select(F.col("id.row").alias("kept_row"))
+    # Rows that are equal in every column share their hash.
+    found = docs.withColumn("kept_row", row).join(kept, "kept_row", "left_semi")
+    found = found.withColumn("kept_place", F.row_number().over(Window.partitionBy("kept_row").orderBy("kept_row")))
+    return found.where("kept_place = 1").select(*docs.columns)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

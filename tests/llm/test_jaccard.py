@@ -85,3 +85,12 @@ def test_shingle_sets():
     assert len(jaccard.shingle_set(None)) == len(jaccard.shingle_set(b" \n")) == 0
     assert (jaccard.shingle_set(b"A b c d e f") == jaccard.shingle_set(b"a  b c d e f")).all()
     assert jaccard.node_of(np.array([1, 2], np.uint64)) != jaccard.node_of(np.array([1, 3], np.uint64))
+
+
+def test_pipeline_keeps_one_row_of_a_group(spark, sf_dir):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(7, one, "s"), (7, one, "s"), (7, one, "t"), (None, one, "s"), (9, one.upper(), "s"), (None, two, "s"), (None, two, "s"), (3, three, "s"), (3, two + " x", "s")]
+    out = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), sf_dir).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == [(3, two + " x"), (3, three), (7, one)]
