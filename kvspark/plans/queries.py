@@ -280,6 +280,15 @@ def kv_bloom_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom.probe(filters, probes, ["block"], BITS).select(F.col("key_long").alias("key"), "block")
 
 
+@query(None)
+def kv_bloom_probe_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored key and every key + 1 against every filter; tests hold it against brute force."""
+    records = kv_hashed(spark, sf_dir)
+    filters = bloom.build(records.withColumn("block", latest.generation(size=BLOCK)), ["block"], BITS)
+    others = records.where("key_long < 9223372036854775807").select((F.col("key_long") + 1).alias("key_long"))
+    return bloom.probe(filters, others.unionByName(records.select("key_long")), ["block"], BITS).select(F.col("key_long").alias("key"), "block")
+
+
 @query(f"SELECT block, bit // 64 AS word, bit_or(CASE WHEN bit % 64 = 63 THEN CAST(-9223372036854775807 AS BIGINT) - 1 ELSE CAST(1 AS BIGINT) << (bit % 64) END) AS bits FROM (SELECT DISTINCT seq // 1024 AS block, {_POSITIONS} AS bit FROM {{H}}, range(6) r(i)) GROUP BY 1, 2")
 def kv_bloom_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six-hash variant (OP-48) in stored form."""
