@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +22,24 @@ from .common import ready, stored, utf8
 from .tokens import WORDS, Words, byte_alphabet, loaded
 
 
+#: Code points that a library is given at once.
+SLICE = 1 << 16
+#: Tokens of a long word that may be given back.
+KEPT = 256
+#: Rows that are encoded before their pieces are handed on.
+ROWS = 256
+#: Between a letter or digit and a blank behind it every library begins a new word.
+_BORDER = regex.compile(r"[A-Za-z0-9](?=[ \n])")
+_LAST_BORDER = regex.compile(r"(?r)[A-Za-z0-9](?=[ \n])")
+
+
 class Ids:
     """Token ids of texts, as the ``tokenizers`` file at ``path`` gives them, as little-endian unsigned 32-bit numbers.
 
     The file's vocabulary is a byte-level BPE whose ids are the merges' ranks, so ordinary text is encoded by the faster
     library for such ranks. Special strings, and texts with code points on which the two libraries' Unicode tables may
-    differ, are left to the file's own tokenizer.
+    differ, are left to the file's own tokenizer. Both see at most ``SLICE`` code points at once; where a text has no
+    place to cut it in, its words are cut here and encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -34,14 +47,92 @@ class Ids:
 
         self.words = Words(path)
         back = {letter: byte for byte, letter in enumerate(byte_alphabet())}
-        ranks = {bytes(map(back.__getitem__, token)): i for token, i in self.words.model()[0].items() if token not in self.words.special}
-        self.encode = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        vocabulary, merges = self.words.model()
+        if any(vocabulary[a + b] >= vocabulary[c + d] for (a, b), (c, d) in zip(merges, merges[1:])):
+            raise ValueError("the vocabulary's ids are not in order of merging")
+        ranks = {bytes(map(back.__getitem__, token)): i for token, i in vocabulary.items() if token not in self.words.special}
+        self.library = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def of(self, text: str) -> bytes:
+        if len(text) <= SLICE:
+            return self._short(text)
+        return b"".join(self._long(text))
+
+    def _short(self, text: str) -> bytes:
         if self.words.plain(text):
-            return self.encode(text, disallowed_special=()).astype("<u4").tobytes()
+            return self.library.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
         return np.array(self.words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _long(self, text: str) -> Iterator[bytes]:
+        for segment, special in self.words.segments(text):
+            if special:
+                yield np.array([self.words.special_ids[segment]], "<u4").tobytes()
+                continue
+            at = 0
+            while at < len(segment):
+                if len(segment) - at <= SLICE:
+                    end, whole = len(segment), True
+                elif m := _LAST_BORDER.search(segment, at, at + SLICE):
+                    end, whole = m.end(), True
+                else:
+                    m = _BORDER.search(segment, at + SLICE - 1)
+                    end, whole = m.end() if m else len(segment), False
+                own = segment[at:end]
+                if whole:
+                    yield self._short(own)
+                else:
+                    for word in self._words(own):
+                        yield from self._word(word.encode("utf-8", "replace"))
+                at = end
+
+    def _word(self, word: bytes) -> Iterator[bytes]:
+        """The ids of one word. Tokens side by side are a word's encoding if every two neighbours are that of their own bytes."""
+        encode, bytes_of = self.library._encode_single_piece, self.library.decode_single_token_bytes
+        at, held = 0, []
+        while at < len(word):
+            new = encode(word[at : at + SLICE])
+            if held and encode(bytes_of(held[-1]) + bytes_of(new[0])) != [held[-1], new[0]]:
+                # The window before saw too little of the word: give its last token back.
+                at -= len(bytes_of(held.pop()))
+                if not held:
+                    raise ValueError("a word whose encoding has no border within a window")
+                continue
+            at += SLICE
+            if at < len(word):
+                kept = max(1, len(new) - KEPT)
+                at -= sum(len(bytes_of(x)) for x in new[kept:])
+                new = new[:kept]
+            held += new
+            yield np.array(held[:-KEPT], "<u4").tobytes()
+            held = held[-KEPT:]
+        yield np.array(held, "<u4").tobytes()
+
+    def _words(self, text: str) -> Iterator[str]:
+        if self.words.plain(text):
+            yield from (m[0] for m in self.words.pattern.finditer(text))
+            return
+        at, end = 0, SLICE
+        while at < len(text):
+            # A word that outgrows its window goes on from its last character, which is of the word's kind unless it
+            # may begin a suffix or a blank word; then the whole window is taken anew.
+            first = max(at, end - SLICE)
+            if first > at and (text[first] == "'" or text[first].isspace()):
+                first = at
+            ends = self._ends(text, first, end)
+            if not ends:
+                end += SLICE - 1
+                continue
+            if first != at:
+                ends = ends[:1]
+            for a, b in zip([at, *ends], ends):
+                yield text[a:b]
+            at, end = ends[-1], ends[-1] + SLICE
+
+    def _ends(self, text: str, first: int, end: int) -> list[int]:
+        """Where the words of ``text[first:end]`` end, but for those that might end elsewhere in the whole text."""
+        ends = [first + b for _, (_, b) in self.words.tokenizer.pre_tokenizer.pre_tokenize_str(text[first:end])]
+        return ends if end >= len(text) else [b for b in ends if b <= end - 4]
+
 
 def pieces(docs: DataFrame, path: str, length: int = 1024) -> DataFrame:
     """``id, start, length, crc, tokens``: every document's ids and a final 0, cut at multiples of ``length``."""
@@ -49,15 +140,17 @@ def pieces(docs: DataFrame, path: str, length: int = 1024) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: Ids = loaded(Ids, path)
         for batch in batches:
-            rows: list[tuple[int, int, int, int, int]] = []
-            for i, text in enumerate(utf8(batch.column(1))):
-                found = ids.of((text or b"").decode("utf-8", "replace")) + b"\0\0\0\0"
-                n = len(found) // 4
-                for start in range(0, n, length):
-                    own = found[4 * start : 4 * (start + length)]
-                    rows.append((i, start, len(own) // 4, zlib.crc32(own), n))
-            at, *rest = zip(*rows) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in rest)], ["id", "start", "length", "crc", "tokens"])
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                rows: list[tuple[int, int, int, int, int]] = []
+                for i, text in enumerate(utf8(part.column(1))):
+                    found = memoryview(ids.of((text or b"").decode("utf-8", "replace")) + b"\0\0\0\0")
+                    n = len(found) // 4
+                    for start in range(0, n, length):
+                        own = found[4 * start : 4 * (start + length)]
+                        rows.append((i, start, len(own) // 4, zlib.crc32(own), n))
+                at, *rest = zip(*rows)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in rest)], ["id", "start", "length", "crc", "tokens"])
 
     return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, start long, length long, crc long, tokens long")
 
@@ -126,7 +219,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = stored(pieces(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), path, length)
                  .withColumn("part", F.pmod(F.xxhash64("id", "start"), F.lit(groups)).cast("int")))
-    counted = stored(cut.groupBy("length", "part").agg(F.count("*").alias("n")))
+    counted = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``length`` rows
     size, packs, first, offset = slots(patterns(histogram, length))
     begins = np.cumsum(packs) - packs

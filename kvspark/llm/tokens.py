@@ -63,7 +63,12 @@ class Words:
     def __init__(self, path: str):
         self.path = path
         with open(path, encoding="utf-8") as f:
-            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+            named = json.load(f)
+        cutter = named["pre_tokenizer"] or {}
+        if named["normalizer"] or named["model"].get("type") != "BPE" or cutter.get("type") != "ByteLevel" or cutter.get("add_prefix_space") or not cutter.get("use_regex", True):
+            raise ValueError("not a byte-level BPE that takes texts as they are and cuts them into words by its own pattern")
+        self.special_ids = {t["content"]: t["id"] for t in named["added_tokens"]}
+        self.special = list(self.special_ids)
         self.pattern = regex.compile(WORDS)
         self.at_special = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
 

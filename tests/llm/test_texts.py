@@ -271,3 +271,42 @@ def test_splitters_follow_the_weights():
     s1, s2 = sharding.splitters(sample, 4)
     assert s1.tolist() == [49, 66, 83] or abs(s1[0] - 50) <= 1
     assert sharding.range_of(np.array([0, s1[0], 99]), np.zeros(3, np.int64), s1, s2).tolist() == [0, 1, 3]
+
+
+# Long texts
+
+
+LONG = {
+    "blanks": "a" + " " * 2_000_000 + "b", "newlines": "\n" * 2_000_000 + "x", "letters": "x" * 2_000_000, "one word of other letters": "漢字" * 300_000,
+    "other letters": "".join(random.Random(1).choice("中文字漢，。のはعربي") for _ in range(400_000)), "marks": "漢" + "!?" * 100_000 + "'" * 70_000 + "s" * 100_000 + "　" * 70_000 + "x漢",
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_ids_of_long_texts(library, name):
+    assert np.array_equal(np.frombuffer(packing.Ids(PATH).of(LONG[name]), "<u4"), library.encode(LONG[name], add_special_tokens=False).ids)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["x", "ab", "漢", "é", " ", "  ", "\n", "\t", "1", "'", "'re", "s", "!", "　", "<|endoftext|>", "word "]), min_size=20, max_size=200).map("".join))
+def test_slices_are_cut_without_a_trace(library, text):
+    ids = packing.Ids(PATH) if not hasattr(test_slices_are_cut_without_a_trace, "ids") else test_slices_are_cut_without_a_trace.ids
+    test_slices_are_cut_without_a_trace.ids = ids
+    before = packing.SLICE, packing.KEPT
+    packing.SLICE, packing.KEPT = 12, 6
+    try:
+        got = np.frombuffer(ids.of(text), "<u4").tolist()
+    finally:
+        packing.SLICE, packing.KEPT = before
+    assert got == library.encode(text, add_special_tokens=False).ids
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        whole = json.load(f)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        (tmp_path / "v.json").write_text(json.dumps(whole | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            packing.Ids(str(tmp_path / "v.json"))
