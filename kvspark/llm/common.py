@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 import pyarrow as pa
@@ -12,15 +13,22 @@ from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
+#: Texts can be long, so that a batch of Spark's default of 10,000 rows may not fit; a session that names a number keeps it.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package, and name a checkpoint folder if the cluster names none."""
+    """Let Python workers import this package; bound Arrow batches; name a checkpoint folder if none is named and all runs on one machine."""
+    if spark.conf.get(ARROW_ROWS, None) is None:
+        spark.conf.set(ARROW_ROWS, "1024")
     sc = spark.sparkContext
     path = sc.environment.get("PYTHONPATH", "")
     if ROOT not in path.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, path) if x)
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master or "").startswith("local["):
+            raise RuntimeError("name a folder that the driver and all executors see in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kvspark-checkpoint-"))
 
 
@@ -36,6 +44,24 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and where it lies.
+
+    Unlike a checkpoint, which keeps the size that was estimated for its plan, a table has a size of its own: in a loop
+    of joins, estimates are multiplied until the numbers themselves take minutes.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/written_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready, shared_dir, utf8
+from .common import discard, ready, shared_dir, utf8
 
 #: Stands for a null id: such rows count as one document after all others.
 LAST = (1 << 63) - 1
@@ -92,8 +92,7 @@ class Runs:
 
     def _remove(self, name: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        discard(self.spark, f"{self.dir}/{name}")
 
     def owners(self) -> DataFrame:
         """Every key once, with the smallest id that holds it. Read without the bucketing, so that a hot key's join can be split."""

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ready, stored, utf8
-from .components import components
+from .components import components, hub_join
 
 #: Node pairs that are descended at once; the rest wait, so that memory is bounded.
 FRONT = 1 << 18
@@ -58,14 +58,14 @@ def _majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """``id, fp`` (a signed long) of every row of ``docs`` (id, text)."""
+    """``id, fp`` (a signed long) of every row of ``docs`` (id, text), and ``place``, the row's number in its batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x, words) for x in utf8(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(np.arange(len(fps), dtype=np.int32))], ["id", "fp", "place"])
 
-    return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, fp long")
+    return docs.mapInArrow(run, f"id {docs.schema[0].dataType.simpleString()}, fp long, place int")
 
 
 def layouts(budget: int, agree: int = 2) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -104,17 +104,23 @@ class _Sets:
     def __init__(self, n: int):
         self.label = np.arange(n)
 
-    def union(self, a: np.ndarray, b: np.ndarray) -> None:
-        label = self.label
+    def union(self, a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Unites the sets of each a and its b; returns those of the pairs that did so, one for each set that went."""
+        label, used = self.label, []
         while len(a):
             x, y = label[a], label[b]
             apart = x != y
             if not apart.any():
                 break
             a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+            high, low = np.maximum(x, y), np.minimum(x, y)
+            np.minimum.at(label, high, low)
+            did = np.flatnonzero(label[high] == low)
+            did = did[np.unique(high[did], return_index=True)[1]]
+            used.append((a[did], b[did]))
             while (label[label] != label).any():
                 label[:] = label[label]
+        return used
 
 
 def trie_links(leaves: np.ndarray, roots: np.ndarray, depth: int, budget: int) -> np.ndarray:
@@ -133,6 +139,16 @@ def trie_links(leaves: np.ndarray, roots: np.ndarray, depth: int, budget: int) -
         np.add.at(inside, roots[:, 1], -1)
         near = np.flatnonzero((np.bitwise_count(leaves[1:] ^ leaves[:-1]) <= budget) & (np.cumsum(inside)[1:n] > 0))
         sets.union(near, near + 1)
+    for a, b in descend(leaves, roots, depth, budget, sets):
+        sets.union(a, b)
+    return sets.label
+
+
+def descend(leaves: np.ndarray, roots: np.ndarray, depth: int, budget: int, sets: _Sets) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of leaves within the budget, many at once; node pairs that lie wholly in one set of ``sets`` are pruned.
+
+    The caller may unite sets between two steps. Arguments as for ``trie_links``.
+    """
     stack = [(np.concatenate([roots, roots], 1), np.zeros(len(roots), np.int64), depth)]
     while stack:
         pairs, errors, level = stack.pop()
@@ -146,7 +162,8 @@ def trie_links(leaves: np.ndarray, roots: np.ndarray, depth: int, budget: int) -
         single = alive & (a1 - a0 == 1) & (b1 - b0 == 1)
         if single.any():
             linked = np.bitwise_count(leaves[a0[single]] ^ leaves[b0[single]]) <= budget
-            sets.union(a0[single][linked], b0[single][linked])
+            if linked.any():
+                yield a0[single][linked], b0[single][linked]
         alive &= ~single
         # Nodes that lie wholly in one and the same set have no link left to find.
         if alive.any():
@@ -162,7 +179,6 @@ def trie_links(leaves: np.ndarray, roots: np.ndarray, depth: int, budget: int) -
         new = [np.stack(p, 1)[k & (p[0] < p[1]) & (p[2] < p[3])] for p, _, k in made]
         err = [e[k & (p[0] < p[1]) & (p[2] < p[3])] for p, e, k in made]
         stack.append((np.concatenate(new), np.concatenate(err), level + 1))
-    return sets.label
 
 
 def _split(leaves: np.ndarray, low: np.ndarray, high: np.ndarray, level: int) -> np.ndarray:
@@ -191,9 +207,9 @@ def links(fps: DataFrame, budget: int = 4, agree: int = 2) -> DataFrame:
     """
     plans = layouts(budget, agree)
     spread = fps.select("fp").mapInArrow(_spreader(plans), "plan short, leaf long, top long")
-    sizes = spread.groupBy("plan", "top").count().where(F.col("count") > 1)
-    parts = sizes.select("plan", "top", F.ceil(F.col("count") / BUCKET).cast("int").alias("parts"))
-    met = spread.join(parts, ["plan", "top"])
+    spread = spread.withColumn("bucket", F.shiftleft(F.col("plan").cast("long"), 48).bitwiseOR(F.col("top")))
+    sizes = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = hub_join(spread, sizes.withColumn("parts", F.ceil(F.col("n") / BUCKET).cast("int")), "bucket", "leaf", len(plans) * fps.count())
     part = F.pmod(F.xxhash64("leaf"), F.col("parts")).cast("int")
     met = met.withColumn("part", part).select("plan", "top", "leaf", "part", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("p"), F.greatest(o, F.col("part")).alias("q")))).alias("cell"))
     met = met.select("plan", "top", "cell.p", "cell.q", "leaf")
@@ -255,13 +271,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted; a shorter text is one shingle. Null and wordless texts have fingerprint zero and link like any other.
     component_id: the smallest id reachable over links of at most ``budget`` differing bits, the row's own included;
     null ids are never smallest, and a component of null ids alone has a null one. Repeated rows stay, each with the
-    same result. No rows: no rows. Other columns are not read. Texts are read once; what is shuffled are fingerprints.
+    same result. No rows: no rows. Other columns are not read. Texts are read once; what is shuffled are fingerprints. The rows
+    of a frequent fingerprint, and the fingerprints of a large component, are dealt over several tasks.
     """
     ready(docs.sparkSession)
     marked = stored(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), words))
-    distinct = stored(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    distinct = stored(marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("copies")))
+    texts, rows = distinct.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
     roots = components(links(distinct.select("fp"), budget, agree))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    of = hub_join(rooted, least, "root", "fp", texts).select("fp", "component_id", F.col("copies").alias("n"))
+    return hub_join(marked, of, "fp", "place", rows).select(F.col("id").alias(id_col), "fp", "component_id")

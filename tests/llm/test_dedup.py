@@ -130,3 +130,33 @@ def test_query_digests(spark, duck, sf_dir):
     for name in ORACLE:
         against(spark, duck, sf_dir, QUERIES[name], ORACLE[name])
     assert hashlib.sha256(b"").hexdigest() in {r.items_sha256 for r in QUERIES["op3_decontaminate"](spark, sf_dir).collect()}
+
+
+@pytest.mark.parametrize("copies", [0, 900])
+def test_a_component_of_most_rows_is_dealt_over_tasks(spark, copies):
+    """A component of nine tenths of the fingerprints, and a fingerprint of nine tenths of the rows: same rows, no hot task."""
+    from pyspark.sql import functions as F
+
+    from kvspark.llm.components import hub_join
+
+    hub, others = (copies or 900), [f"lone text number {i} with words of its own {i * 7} {i * 11}" for i in range(100)]
+    centre = 0x0F0F0F0F00FF00FF
+    fps = sorted({centre ^ (1 << a) ^ (1 << b) for a in range(60) for b in range(a, 60)})[:hub]
+    if copies:
+        docs = spark.createDataFrame([(i, "the same words again and again") for i in range(hub)] + [(hub + i, t) for i, t in enumerate(others)], "doc_id long, text string")
+        rows = simhash.near_dedup(docs).collect()
+        assert len(rows) == hub + 100 and {r.component_id for r in rows if r.doc_id < hub} == {0}
+        return
+    got = {r.node: r.root for r in components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"))).collect()}
+    assert len(got) == len(fps) and set(got.values()) == {min(fps)}
+    rows = spark.createDataFrame([(1, i) for i in range(900)] + [(2 + i, i) for i in range(100)], "root long, fp long")
+    one = rows.groupBy("root").agg(F.min("fp").alias("least"), F.count("*").alias("n"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = hub_join(rows, one, "root", "fp", 1000)
+        sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert joined.count() == 1000 and joined.columns == ["root", "fp", "least"]
+        assert joined.where("root = 1").agg(F.count("*"), F.min("least"), F.max("least"), F.count_distinct("fp")).first() == (900, 0, 0, 900)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(sizes) == 4 and max(sizes) < 600  # of 1,000; the key alone has 900

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from kvspark.llm import language, quality, simhash
 
 from .conftest import DOCS, documents, words
-from .test_dedup import plain_components, plain_fingerprint, plain_lines
+from .test_dedup import plain_lines
+from .test_similar import plain_groups
 from .test_texts import plain_hits
 
 
@@ -101,8 +102,7 @@ def test_pipeline_against_plain_stages(spark, sf_dir):
     rows = two.collect()
     assert sorted((r.doc_id, r.text) for r in rows) == kept and all(r.n_chars == len(r.text) for r in rows)
     three = stages["simhash_near_dedup"](spark, two, sf_dir)
-    fp = {i: plain_fingerprint(t, 5) for i, t in kept}
-    roots = plain_components([(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 6], list(fp))
+    roots = plain_groups(dict(kept))
     kept = [(i, t) for i, t in kept if roots[i] == i]
     assert sorted((r.doc_id, r.text) for r in three.collect()) == kept
     four = stages["decontaminate"](spark, three, sf_dir)

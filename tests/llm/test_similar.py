@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from kvspark.llm import jaccard
+from kvspark.llm import similar
 
 from .test_dedup import plain_components
 
@@ -25,7 +25,7 @@ def plain_groups(texts: dict) -> dict:
 
 
 def grouped(spark, texts: dict) -> dict:
-    marked, roots = jaccard.groups(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(3))
+    marked, roots = similar.groups(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string").repartition(3))
     root = {r.node: r.root for r in roots.collect()}
     rows = [(r.id, root.get(r.node, r.node)) for r in marked.collect()]
     least = {}
@@ -55,19 +55,19 @@ def corpus() -> dict:
     return dict(enumerate([*out, "", None, " \n", "one two", "ONE  two", "one two three", out[0].upper()]))
 
 
-@pytest.mark.parametrize("stars, batch", [(2, 1 << 16), (0, 50)])
-def test_groups_are_those_of_all_similar_pairs(spark, monkeypatch, stars, batch):
-    monkeypatch.setattr(jaccard, "STARS", stars)
-    monkeypatch.setattr(jaccard, "BATCH", batch)
+@pytest.mark.parametrize("bucket, batch", [(1 << 12, 1 << 16), (8, 50)])
+def test_groups_are_those_of_all_similar_pairs(spark, monkeypatch, bucket, batch):
+    monkeypatch.setattr(similar, "BUCKET", bucket)
+    monkeypatch.setattr(similar, "BATCH", batch)
     texts = corpus()
     want = plain_groups(texts)
     assert grouped(spark, texts) == want and 30 < len(set(want.values())) < len(texts)
 
 
 def test_no_rows_and_awkward_rows(docs, empty):
-    marked, roots = jaccard.groups(empty.select("doc_id", "text"))
+    marked, roots = similar.groups(empty.select("doc_id", "text"))
     assert marked.count() == roots.count() == 0
-    marked, _ = jaccard.groups(docs.select("doc_id", "text"))
+    marked, _ = similar.groups(docs.select("doc_id", "text"))
     assert marked.count() == docs.count()
 
 
@@ -82,9 +82,9 @@ def test_pipeline_keeps_no_near_copy_of_similarity_four_fifths(spark, sf_dir):
 
 
 def test_shingle_sets():
-    assert len(jaccard.shingle_set(None)) == len(jaccard.shingle_set(b" \n")) == 0
-    assert (jaccard.shingle_set(b"A b c d e f") == jaccard.shingle_set(b"a  b c d e f")).all()
-    assert jaccard.node_of(np.array([1, 2], np.uint64)) != jaccard.node_of(np.array([1, 3], np.uint64))
+    assert len(similar.shingle_set(None)) == len(similar.shingle_set(b" \n")) == 0
+    assert (similar.shingle_set(b"A b c d e f") == similar.shingle_set(b"a  b c d e f")).all()
+    assert similar.node_of(np.array([1, 2], np.uint64)) != similar.node_of(np.array([1, 3], np.uint64))
 
 
 def test_pipeline_keeps_one_row_of_a_group(spark, sf_dir):
