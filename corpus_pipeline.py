@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kvspark.llm import decontaminate, jaccard, language, line_dedup, packing
+from kvspark.llm import decontaminate, language, line_dedup, packing, similar
 from kvspark.llm.common import fold, shared_dir, table
 from kvspark.llm.queries import tokenizer_path
 
@@ -45,13 +45,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     It is the one of the smallest id; a row without an id stays only if its group has none with one. Of rows that share
     that id one stays.
     """
-    row = F.xxhash64(*docs.columns)
-    marked, roots = jaccard.groups(docs.select(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", row.alias("row")).alias("id"), "text"), words=5)
-    rooted = marked.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("id").alias("id")).select(F.col("id.row").alias("kept_row"))
-    # Rows that are equal in every column share their hash.
-    found = docs.withColumn("kept_row", row).join(kept, "kept_row", "left_semi")
-    found = found.withColumn("kept_place", F.row_number().over(Window.partitionBy("kept_row").orderBy("kept_row")))
+    # Rows that are equal in every column share both hashes.
+    row = F.struct(F.xxhash64(*docs.columns).alias("kept_1"), F.xxhash64(F.lit("other"), *docs.columns).alias("kept_2"))
+    marked, roots = similar.groups(docs.select(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", row.alias("row")).alias("id"), "text"), words=5)
+    # Copies are reduced to one row a set before sets meet their roots.
+    least = marked.groupBy("node").agg(F.min("id").alias("id")).join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("id").alias("id"))
+    found = docs.withColumns({c: row[c] for c in ("kept_1", "kept_2")}).join(least.select("id.row.*"), ["kept_1", "kept_2"], "left_semi")
+    found = found.withColumn("kept_place", F.row_number().over(Window.partitionBy("kept_1", "kept_2").orderBy("kept_1")))
     return found.where("kept_place = 1").select(*docs.columns)
 
 
