@@ -5,7 +5,7 @@ becomes a placeholder that names its turn and part; what it refers to, and how m
 
 The template: ``<|turn ROLE|>`` CONTENT ``<|end|>``, placeholders ``<|KIND turn.part|>``. In texts and roles a backslash
 becomes ``\\e``, ``<|`` becomes ``\\l`` and ``|>`` becomes ``\\g``, so that no text contains a control string, and
-undoing these three gives every text back.
+undoing these three gives every text back. Texts side by side are escaped as one, so that none comes of their seam.
 """
 
 from __future__ import annotations
@@ -33,6 +33,27 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def _body(parts: Column, placeholder) -> Column:
+    """The parts as one escaped text with placeholders. ``placeholder(part, place)`` is what stands between the marks.
+
+    A single text is escaped as it is. Several parts are first put together with one control character on either side
+    of a placeholder; the same characters inside texts are escaped before, as ``\\a`` and ``\\b``, and put back behind.
+    """
+    marks = (("\x01", "\\a"), ("\x02", "\\b"))
+
+    def inner(text: Column) -> Column:
+        for plain, coded in (ESCAPES[0], *marks):
+            text = F.replace(text, F.lit(plain), F.lit(coded))
+        return text
+
+    whole = F.array_join(F.transform(parts, lambda p, j: F.when(p["kind"].isNull(), inner(p["text"])).otherwise(F.concat(F.lit(marks[0][0]), inner(placeholder(p, j)), F.lit(marks[1][0])))), "")
+    for plain, coded in ESCAPES[1:]:
+        whole = F.replace(whole, F.lit(plain), F.lit(coded))
+    for (mark, coded), control in zip(marks, ("<|", "|>")):
+        whole = F.replace(F.replace(whole, F.lit(mark), F.lit(control)), F.lit(coded), F.lit(mark))
+    return F.when((F.size(parts) == 1) & F.get(parts, F.lit(0))["kind"].isNull(), escape(F.get(parts, F.lit(0))["text"])).otherwise(whole)
+
+
 def text_part(text: Column) -> Column:
     """A content of one text part."""
     return F.array(F.struct(F.lit("text").alias("kind"), text.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("double").alias("units"))).cast(PARTS)
@@ -60,13 +81,12 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     rows = turns.select(
         F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
         F.transform(content, lambda p: F.struct(
-            F.when(~is_text(p), p["kind"]).alias("kind"), F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.lit("")).alias("text"),
+            F.when(~is_text(p), p["kind"]).alias("kind"), F.when(is_text(p), F.coalesce(p["text"], F.lit(""))).otherwise(F.lit("")).alias("text"),
             p["ref"].alias("ref"), _expanded(p, expansion).alias("tokens"))).alias("parts"),
     )
     order = Window.partitionBy("conv").orderBy("turn", "role", "parts")
     rows = rows.withColumn("at", F.row_number().over(order) - 1)
-    body = F.array_join(F.transform("parts", lambda p, j: F.when(p["kind"].isNull(), p["text"]).otherwise(
-        F.concat(F.lit("<|"), escape(p["kind"]), F.lit(" "), F.col("at").cast("string"), F.lit("."), j.cast("string"), F.lit("|>")))), "")
+    body = _body(F.col("parts"), lambda p, j: F.concat(p["kind"], F.lit(" "), F.col("at").cast("string"), F.lit("."), j.cast("string")))
     rows = rows.select(
         "conv", "at", F.concat(F.lit("<|turn "), escape(F.col("role")), F.lit("|>")).alias("head"), body.alias("body"), F.col("role").isin(*loss_roles).alias("loss"),
         F.filter(F.transform("parts", lambda p, j: F.struct(F.col("at").alias("turn"), j.alias("part"), p["kind"].alias("kind"), p["ref"].alias("ref"), p["tokens"].alias("tokens"))), lambda a: a["kind"].isNotNull()).alias("attached"),
