@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, utf8
+from .common import discard, ready, utf8, written
 
 #: ASCII bytes that are no word characters become blanks; capitals become small; bytes of other code points stay.
 _TABLE = bytes(x if x >= 128 or chr(x).isalnum() else 32 for x in range(256)).lower()
@@ -140,7 +140,7 @@ class Automaton:
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """Normalised items, in blocks of bounded size; only one block is held at a time."""
+    """Normalised items, in blocks of bounded size; the caller holds one block and the next."""
     block, size = [], 0
     rows = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string"), F.col(text_col).cast("binary"))
     for name, text in rows.toLocalIterator():
@@ -167,14 +167,32 @@ def marked(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     schema = f"id {narrow.schema[0].dataType.simpleString()}, n_words long, spans array<struct<start:int,stop:int>>, items array<string>"
     kind = f"{schema}, text string"
     out = narrow.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<struct<start:int,stop:int>>"), "items": F.array().cast("array<string>")}).select("id", "n_words", "spans", "items", "text")
-    for block in list(_blocks(items, item_id, item_text)) or [[]]:
-        out = out.mapInArrow(_streamer(spark.sparkContext.broadcast(Automaton(block, window))), kind)
-    return out.drop("text")
+    return _streamed(out, _blocks(items, item_id, item_text), window, lambda held: _streamer(held), kind, lambda held: _streamer(held), kind).drop("text")
 
 
-def _streamer(held):
-    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+def _streamed(out: DataFrame, blocks: Iterator[list[tuple[str, list[bytes]]]], window: int, mark, schema, last, last_schema) -> DataFrame:
+    """Each block's automaton over all rows: ``mark`` for all but the last, ``last`` for that.
+
+    One automaton is held at a time, here and by the tasks: what a block marked is written to the shared folder before
+    the next block begins, and the table before it goes. Most benchmarks are one block and nothing is written.
+    """
+    spark = out.sparkSession
+    block, path = next(blocks, []), None
+    while (after := next(blocks, None)) is not None:
+        held = spark.sparkContext.broadcast(Automaton(block, window))
+        old = path
+        out, path = written(out.mapInArrow(mark(held), schema))
+        held.destroy()
+        if old:
+            discard(spark, old)
+        block = after
+    return out.mapInArrow(last(spark.sparkContext.broadcast(Automaton(block, window))), last_schema)
 
+
+_SPANS_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+
+def _streamer(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton: Automaton = held.value
         for batch in batches:
@@ -185,7 +203,7 @@ def _streamer(held):
                 n_words.append(len(found))
                 spans.append([{"start": a, "stop": b} for a, b in united(own, [(x["start"], x["stop"]) for x in old])])
                 items.append(sorted(names.union(known)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.string())), batch.column(4)], ["id", "n_words", "spans", "items", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS_TYPE), pa.array(items, pa.list_(pa.string())), batch.column(4)], ["id", "n_words", "spans", "items", "text"])
 
     return run
 
@@ -213,33 +231,44 @@ def _cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[done:]])
 
 
+#: Carries the spans of earlier blocks beside the columns of the documents.
+_SPANS = "_decontaminate_spans"
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, max_coverage: float = 0.2) -> DataFrame:
     """``docs`` without the text of benchmark items: hit spans are cut out; documents hit in more than ``max_coverage``
     of their words go. With ``max_coverage`` 0 every document with a span goes. All columns are kept, texts that are
-    not hit byte for byte. Holds one automaton at a time: each block of items filters what the former one left.
+    not hit byte for byte. The spans of all blocks of items are united on the whole text before it is judged and cut, so
+    the result does not depend on how items fall into blocks. Null, empty and wordless texts have no span and stay;
+    items that are null, wordless or without an id have no window; repeated rows are judged alike. No items: all rows
+    stay; no rows: no rows. Only a column of the name ``_decontaminate_spans`` would clash and is refused.
     """
-    spark = docs.sparkSession
-    ready(spark)
-    out = docs
-    for block in _blocks(items, item_id, item_text):
-        held = spark.sparkContext.broadcast(Automaton(block, window))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+    ready(docs.sparkSession)
+    if _SPANS in docs.columns:
+        raise ValueError(f"a column is named {_SPANS}")
+    marked_type = "array<struct<start:int,stop:int>>"
+    out = docs.withColumn(_SPANS, F.array().cast(marked_type))
+
+    def judged(held, final: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton: Automaton = held.value
             for batch in batches:
-                texts, keep = utf8(batch.column(text_col)), []
-                for i, text in enumerate(texts):
+                texts, keep, spans = utf8(batch.column(text_col)), [], []
+                for i, (text, old) in enumerate(zip(texts, batch.column(_SPANS).to_pylist())):
                     found = words(text)
-                    spans, _ = automaton.match(found)
-                    hit = sum(b - a for a, b in spans)
-                    keep.append(hit <= max_coverage * len(found))
-                    if spans and keep[-1]:
-                        texts[i] = _cut(text, spans)
-                made = pa.array(texts, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([made if x == text_col else batch.column(x) for x in batch.schema.names], batch.schema.names).filter(pa.array(keep, pa.bool_()))
-
-        out = out.mapInArrow(run, out.schema)
-    return out
+                    own = united(automaton.match(found)[0], [(x["start"], x["stop"]) for x in old])
+                    spans.append([{"start": a, "stop": b} for a, b in own])
+                    keep.append(sum(b - a for a, b in own) <= max_coverage * len(found))
+                    if final and own and keep[-1]:
+                        texts[i] = _cut(text, own)
+                made = {text_col: pa.array(texts, pa.binary()).cast(pa.string())} if final else {_SPANS: pa.array(spans, _SPANS_TYPE)}
+                names = [x for x in batch.schema.names if not final or x != _SPANS]
+                cut = pa.RecordBatch.from_arrays([made[x] if x in made else batch.column(x) for x in names], names)
+                yield cut.filter(pa.array(keep, pa.bool_())) if final else cut
+
+        return run
+
+    return _streamed(out, _blocks(items, item_id, item_text), window, lambda held: judged(held, False), out.schema, lambda held: judged(held, True), docs.schema)
 
 
 def item_digest(names: "F.Column") -> "F.Column":
