@@ -2,7 +2,7 @@
 
 Each language is a distribution over hashed byte trigrams, learned from labelled documents. A document is taken as a
 mixture: expectation-maximisation finds the proportions that make its trigrams likeliest, over all languages and then
-over sets of the foremost one, two and three; the set of greatest likelihood less a price for each language wins.
+over nested sets of the foremost ones, as many as there are; the set of greatest likelihood less a price for each language wins.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ BUCKETS = 1 << 15
 OVERLAP = 3.0
 #: Log-likelihood that one more language costs, for each natural log unit of trigrams.
 PRICE = 1.0
-ROUNDS, LARGEST_SET = 12, 3
+ROUNDS = 12
 #: Distinct trigrams of documents that are inferred together.
 FLAT = 1 << 17
 #: ASCII letters are lower-cased, other ASCII is blank, bytes of other code points stay.
@@ -87,25 +87,26 @@ class Mixture:
         score = 1 / surest.sum(1)
         if len(self.languages) > 1:
             share, all_ = self._em(r, c, doc, starts, n, np.full(chosen.shape, 1 / chosen.shape[1], np.float32))
+            # The log-likelihood is concave: no mixture's lies further above this one's than its largest slope exceeds n.
+            slope = np.add.reduceat(r * (c / (r * share[doc]).sum(1))[:, None], starts, axis=0).max(1)
+            most = (all_ + np.maximum(slope - n, 0)) / OVERLAP
             price = PRICE * np.log1p(n)
-            top = single[rows, best]
-            # No set of several can win where even all languages together gain less than the price of one more.
-            open_ = np.flatnonzero(all_ / OVERLAP - price > top)
-            if len(open_):
+            value = single[rows, best]
+            order = np.argsort(-share, axis=1, kind="stable")
+            # Sets grow by the next foremost language as long as all languages together could pay for one more.
+            for k in range(2, len(self.languages) + 1):
+                open_ = np.flatnonzero(most - (k - 1) * price > value)
+                if not len(open_):
+                    break
                 keep = np.isin(doc, open_)
-                d = np.searchsorted(open_, doc[keep])
-                s = np.cumsum(sizes[open_]) - sizes[open_]
-                order = np.argsort(-share[open_], axis=1, kind="stable")
-                value = top[open_]
-                for k in range(2, min(LARGEST_SET, len(self.languages)) + 1):
-                    start = np.zeros((len(open_), len(self.languages)), np.float32)
-                    np.put_along_axis(start, order[:, :k], np.float32(1 / k), 1)
-                    own, like = self._em(r[keep], c[keep], d, s, n[open_], start)
-                    like = like / OVERLAP - (k - 1) * price[open_]
-                    wins = like > value
-                    value = np.where(wins, like, value)
-                    chosen[open_[wins]] = own[wins]
-                    score[open_[wins]] = own[wins].max(1)
+                start = np.zeros((len(open_), len(self.languages)), np.float32)
+                np.put_along_axis(start, order[open_, :k], np.float32(1 / k), 1)
+                own, like = self._em(r[keep], c[keep], np.searchsorted(open_, doc[keep]), np.cumsum(sizes[open_]) - sizes[open_], n[open_], start)
+                like = like / OVERLAP - (k - 1) * price[open_]
+                wins = like > value[open_]
+                value[open_[wins]] = like[wins]
+                chosen[open_[wins]] = own[wins]
+                score[open_[wins]] = own[wins].max(1)
         return chosen, score
 
 
