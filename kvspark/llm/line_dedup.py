@@ -8,6 +8,7 @@ order) reduces its lines to one row a key, anti-joins every run, and adds what i
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -50,18 +51,42 @@ def keys_of(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 class Runs:
-    """The levelled runs of one dedup state."""
+    """The levelled runs of one dedup state, in the folder ``at`` or a new one of the shared folder.
 
-    def __init__(self, spark: SparkSession, fanout: int = 3):
+    A run's folder says its level and buckets, and counts once it is whole, so a state that was opened before can be opened
+    again and goes on with the next batch. While it is open, its runs are tables of the session.
+    """
+
+    def __init__(self, spark: SparkSession, fanout: int = 3, at: str | None = None):
         self.spark, self.fanout, self.name = spark, fanout, f"line_runs_{uuid.uuid4().hex}"
-        self.dir, self.levels, self.written = f"{shared_dir(spark)}/{self.name}", [[]], 0
+        self.dir, self.levels, self.written = at or f"{shared_dir(spark)}/{self.name}", [[]], 0
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.folders: dict[str, str] = {}
+        for folder, number, level, buckets in sorted(self._found(), key=lambda x: x[1]):
+            name = self._named(folder, level)
+            spark.sql(f"CREATE TABLE {name} (h1 BIGINT, h2 BIGINT, owner BIGINT) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {buckets} BUCKETS LOCATION '{self.dir}/{folder}'")
+            self.written = max(self.written, number + 1)
+
+    def _found(self) -> list[tuple[str, int, int, int]]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.dir)
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in system.listStatus(path)] if system.exists(path) else []
+        whole = [x for x in names if system.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{x}/_SUCCESS"))]
+        return [(x, *map(int, m.groups())) for x in whole if (m := re.fullmatch(r"run_(\d+)_level_(\d+)_buckets_(\d+)", x))]
+
+    def _named(self, folder: str, level: int) -> str:
+        name = f"{self.name}_{folder}"
+        self.folders[name] = f"{self.dir}/{folder}"
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(name)
+        return name
 
-    def _write(self, rows: DataFrame) -> str:
-        name, self.written = f"{self.name}_{self.written}", self.written + 1
+    def _write(self, rows: DataFrame, level: int) -> None:
+        folder, self.written = f"run_{self.written:06d}_level_{level}_buckets_{self.buckets}", self.written + 1
         (rows.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
-         .option("path", f"{self.dir}/{name}").saveAsTable(name))
-        return name
+         .option("path", f"{self.dir}/{folder}").saveAsTable(f"{self.name}_{folder}"))
+        self._named(folder, level)
 
     def runs(self) -> list[str]:
         return [x for level in self.levels for x in level]
@@ -75,28 +100,28 @@ class Runs:
     def add(self, keys: DataFrame) -> None:
         """Take in one batch, whose ids all lie above those of earlier batches. keys: as ``keys_of`` gives them."""
         first = keys.groupBy("h1", "h2").agg(F.min("rid").alias("owner"))
-        self.levels[0].append(self._write(self.unseen(first)))
+        self._write(self.unseen(first), 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             old, merged = self.levels[level], None
             for name in old:
                 rows = self.spark.table(name)
                 merged = rows if merged is None else merged.unionByName(rows)
-            if len(self.levels) == level + 1:
-                self.levels.append([])
-            self.levels[level + 1].append(self._write(merged))
+            self._write(merged, level + 1)
             self.levels[level] = []
             for name in old:
-                self._remove(name)
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+                discard(self.spark, self.folders.pop(name))
             level += 1
 
-    def _remove(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        discard(self.spark, f"{self.dir}/{name}")
+    def close(self) -> None:
+        """Take the runs out of the session's catalog; their folders stay."""
+        for name in self.runs():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
     def owners(self) -> DataFrame:
         """Every key once, with the smallest id that holds it. Read without the bucketing, so that a hot key's join can be split."""
-        return self.spark.read.schema("h1 long, h2 long, owner long").parquet(*(f"{self.dir}/{x}" for x in self.runs()))
+        return self.spark.read.schema("h1 long, h2 long, owner long").parquet(*map(self.folders.__getitem__, self.runs()))
 
 
 def _batches(docs: DataFrame, n: int) -> list[tuple[int | None, int | None]]:
@@ -106,20 +131,22 @@ def _batches(docs: DataFrame, n: int) -> list[tuple[int | None, int | None]]:
     return list(zip([None, *cuts], [*cuts, None]))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 3, at: str | None = None) -> DataFrame:
     """``docs`` with repeated lines taken out of the text, and two more columns ``n_lines``, ``n_dropped``.
 
     A line's key is the line stripped of ASCII white space and with A-Z lower-cased. A key of ``min_chars`` code
     points or more keeps its lines only in the document of the smallest id that holds it, all of them there.
     A null or empty text is one empty line and gives an empty text. Null ids count as one document behind all
     others; rows that share an id count as one document. No rows: no rows. Columns of ``docs`` named ``n_lines``
-    or ``n_dropped`` are replaced; all others are carried along unread.
+    or ``n_dropped`` are replaced; all others are carried along unread. Ids have to be numbers. at: a folder that holds
+    the runs of earlier calls, whose ids were all smaller; lines known there go here too, and this call's are added.
+    Keys are told apart by 128 bits; the lost lines of one text by 64 of them.
     """
     spark = docs.sparkSession
     ready(spark)
     rid = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     narrow = docs.select(rid.alias("rid"), F.col(text_col).alias("text"))
-    state = Runs(spark, fanout)
+    state = Runs(spark, fanout, at)
     for low, high in _batches(docs.select(F.col(id_col).cast("long").alias("rid")), batches):
         # On the id column itself, so that the filter reaches the scan.
         part = docs
@@ -128,6 +155,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if high is not None:
             part = part.where(F.col(id_col) < high)
         state.add(keys_of(part.select(rid.alias("rid"), F.col(text_col).alias("text")), min_chars))
+    state.close()
     lost = keys_of(narrow, min_chars).join(state.owners(), ["h1", "h2"]).where("owner <> rid").groupBy("rid").agg(F.collect_list("h1").alias("_ld_lost"))
     kept = docs.drop("n_lines", "n_dropped").withColumn("_ld_rid", rid).join(lost.withColumnRenamed("rid", "_ld_rid"), "_ld_rid", "left").drop("_ld_rid")
     names = [x for x in kept.columns if x != "_ld_lost"]
