@@ -176,7 +176,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model of ``labels``' 0/1 column from the texts of the same ids; rows of null id or label teach nothing.
 
     About ``rows`` labelled rows are learned from, drawn by a hash of the id: a documented bound on the work of fitting.
-    Repeated labels of one id are averaged and rounded, so that order does not matter. Only drawn labels are joined.
+    Repeated labels of one id are averaged and rounded, and of repeated texts the smallest counts, so that order does
+    not matter and a frequent id adds one row. Only drawn labels are joined.
     """
     ready(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.round(F.avg(label_col)).cast("int").alias("label"))
@@ -184,6 +185,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.where(F.shiftrightunsigned(F.xxhash64(F.lit("draw"), "id"), 11).cast("double") / float(1 << 53) < rate)
     # At most a few more than ``rows`` ids of a fixed width: small enough to broadcast at any size of the tables.
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    # An id with many rows teaches by one text, so that what is drawn stays bounded.
+    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text"))
     table = described(texts, "text", ["id", "label"]).toPandas()
     order = np.lexsort((table.label, table.id))
     x = np.array(table.f.to_list(), np.float64).reshape(-1, len(FEATURES))[order]
