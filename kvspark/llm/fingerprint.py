@@ -21,12 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ready, utf8
+from .sharding import range_of, splitters
 
 SAMPLES = 128
 ROWS = 4096
 #: Terms that are scored at once.
 BLOCK = 2048
 FIRST = -(1 << 63)
+#: Keys drawn for each range of documents.
+DRAWS = 64
 
 
 class Sampler:
@@ -85,10 +88,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_chars long, fingerprint string")
 
 
-def _bucket_of(cuts: np.ndarray):
+def _cuts(keyed: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Quantiles of the keys (k, tie), from about DRAWS distinct keys a range drawn by their hash."""
+    total = keyed.count()
+    chance = min(1.0, DRAWS * parts / max(1, total))
+    drawn = keyed.where(F.shiftrightunsigned(F.xxhash64(F.lit("cut"), "k", "tie"), 11).cast("double") / float(1 << 53) < chance)
+    sample = drawn.groupBy("k", "tie").agg(F.count("*").cast("double").alias("w")).toPandas().sort_values(["k", "tie"])
+    return splitters(np.rec.fromarrays([sample.k.to_numpy(), sample.tie.to_numpy(), sample.w.to_numpy()], names="k1,k2,w"), parts)
+
+
+def _bucket_of(k1: np.ndarray, k2: np.ndarray):
     @F.pandas_udf("int")
-    def bucket(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, k.to_numpy(), "right").astype(np.int32))
+    def bucket(k: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series(range_of(k.to_numpy(), tie.to_numpy(), k1, k2).astype(np.int32))
 
     return bucket
 
@@ -100,35 +112,38 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     comes the first. The edited text has its last quarter (``n_chars // 4`` code points) replaced by as many from the
     start of the next text, or all that it has. Null texts are empty; a single row is its own next. No rows: no rows.
 
-    Ids are dealt to ranges of about equal counts, so that a range holds runs of neighbours; the first document of each
-    range is also copied to the range before it. That is the one shuffle, of compressed texts; to the driver go one
-    cut and one id a range.
+    Pairs of id and text hash are dealt to ranges of about equal counts, so that a range holds runs of neighbours, and many
+    rows without an id, or of one, still make many ranges; the first document of each range is also copied to the range
+    before it. That is the one shuffle, of compressed texts; to the driver go DRAWS keys and one more a range. Rows that
+    repeat both id and text lie in one range, whose rows are streamed. Ids have to be numbers.
     """
     spark = docs.sparkSession
     ready(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = np.array(sorted({int(x) for x in keyed.approxQuantile("k", [i / parts for i in range(1, parts)], 0.2 / parts)}), np.int64) if parts > 1 else np.zeros(0, np.int64)
-    bucket = _bucket_of(cuts)
-    firsts = sorted((r.b, r.k) for r in keyed.select(bucket("k").alias("b"), "k").groupBy("b").agg(F.min("k").alias("k")).collect())
-    to = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}  # the first's copy goes to the last range
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("k"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    cuts = _cuts(keyed.select("k", "tie"), parts) if parts > 1 else (np.zeros(0, np.int64),) * 2
+    bucket = _bucket_of(*cuts)
+    firsts = sorted((r.b, *r.first) for r in keyed.select(bucket("k", "tie").alias("b"), F.struct("k", "tie").alias("key")).groupBy("b").agg(F.min("key").alias("first")).collect())
+    to = {(k, tie): firsts[i - 1][0] for i, (_, k, tie) in enumerate(firsts)}  # the first's copy goes to the last range
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, packer = Sampler(), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            k, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-            texts = utf8(batch.column(3))
-            rows = np.arange(len(k))
-            halo = np.array([i for i, x in enumerate(k.tolist()) if x in to], np.int64)
+            b = batch.column(3).to_numpy(zero_copy_only=False)
+            texts = utf8(batch.column(4))
+            rows = np.arange(len(b))
+            keys = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            halo = np.array([i for i, x in enumerate(keys) if x in to], np.int64)
             take = pa.array(np.concatenate([rows, halo]))
-            signed, packed, tie = pa.array([sampler.of(x) for x in texts], pa.binary()), pa.array([packer.compress(x) for x in texts], pa.binary()), pa.array([xxhash.xxh3_64_intdigest(x) >> 1 for x in texts], pa.int64())
-            buckets = np.concatenate([b, np.array([to[x] for x in k[halo].tolist()], np.int32)]).astype(np.int32)
+            signed, packed = pa.array([sampler.of(x) for x in texts], pa.binary()), pa.array([packer.compress(x) for x in texts], pa.binary())
+            buckets = np.concatenate([b, np.array([to[keys[i]] for i in halo.tolist()], np.int32)]).astype(np.int32)
             halos = np.concatenate([np.zeros(len(rows), np.int8), np.ones(len(halo), np.int8)])
-            yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(halos), batch.column(1).take(take), tie.take(take), batch.column(0).take(take), packed.take(take), signed.take(take)], ["b", "halo", "k", "tie", "id", "packed", "signed"])
+            yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(halos), batch.column(1).take(take), batch.column(2).take(take), batch.column(0).take(take), packed.take(take), signed.take(take)], ["b", "halo", "k", "tie", "id", "packed", "signed"])
 
-    dealt = keyed.select("id", "k", bucket("k").alias("b"), "text").mapInArrow(sign, f"b int, halo byte, k long, tie long, id {kind}, packed binary, signed binary")
-    runs = dealt.repartitionById(max(parts, len(cuts) + 1), F.col("b")).sortWithinPartitions("b", "halo", "k", "tie")
+    dealt = keyed.select("id", "k", "tie", bucket("k", "tie").alias("b"), "text").mapInArrow(sign, f"b int, halo byte, k long, tie long, id {kind}, packed binary, signed binary")
+    runs = dealt.repartitionById(max(parts, len(cuts[0]) + 1), F.col("b")).sortWithinPartitions("b", "halo", "k", "tie")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, unpacker = Sampler(), zstandard.ZstdDecompressor()

@@ -1,7 +1,7 @@
 """Sharding by sampled splitters (operator 10).
 
-Keys are ``(xxhash64(text), xxhash64(doc_id))``: equal texts lie side by side, and a group of equal
-texts larger than a range is still divided by the second half. A size-weighted sample of keys gives
+Keys are ``(xxhash64(text), xxhash64(doc_id, place of the row))``: equal texts lie side by side, and a
+group of equal texts or even of equal rows larger than a range is still divided by the second half. A size-weighted sample of keys gives
 quantile boundaries of many narrow ranges; records are range-partitioned over them. Exact bytes and
 rows of each range are then known, so every record's place in the global byte order is known without
 one global sort, and a range that overfills its shard is subdivided at the byte where the shard ends.
@@ -55,7 +55,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     """``id, size, text_crc32, shard, slot`` for every row of ``docs``; bytes a shard are equal to within one record.
 
     size: UTF-8 bytes of the text plus 8; a null text has none and crc32 0. Null ids are kept and sort by
-    their hash like any other key. Repeated rows each take their own slot. No rows: no rows. Other columns
+    their hash like any other key; keys are stored once, so a row's place in its input decides but once. Repeated rows each take their own slot. No rows: no rows. Other columns
     of ``docs`` are not read, so their names cannot clash. Only (id, size, crc, two hashes) are shuffled,
     never the texts; to the driver go the sample, and one row a range (``shards * ranges_per_shard``).
     """
@@ -64,7 +64,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     text = F.coalesce(F.col(text_col), F.lit(""))
     keys = stored(docs.select(
         F.col(id_col).alias("id"), (F.octet_length(text) + RESERVED).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"),
-        F.xxhash64(text).alias("k1"), F.xxhash64(F.col(id_col)).alias("k2"),
+        F.xxhash64(text).alias("k1"), F.xxhash64(F.col(id_col), F.monotonically_increasing_id()).alias("k2"),
     ))
     total = keys.agg(F.sum("size")).first()[0] or 0
     s1, s2 = splitters(_sample(keys, max(total, 1), shards * ranges_per_shard * draws_per_range), shards * ranges_per_shard)
