@@ -63,8 +63,9 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
-    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+    """within_512: how many code points fit into 512 tokens, from the counts of all prefixes."""
+    counted = tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), budgets=(512,))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"), "within_512")
 
 
 def op10_sampled_splitter_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

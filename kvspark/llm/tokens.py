@@ -27,8 +27,8 @@ SUFFIXES = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: Code points beyond those on which regular expression libraries of all Unicode versions agree; texts with them go to
 #: the tokenizer's own cutter.
 _ODD = re.compile("[^\x00-\u052f\u2010-\u2027\u20ac]")
-#: Entries of one generation of a cache. There are two; what the older holds and is not asked for again is forgotten.
-GENERATION = 1 << 18
+#: Entries and bytes of one generation of a cache. There are two; what the older holds and is not asked for again is forgotten.
+GENERATION, GENERATION_BYTES = 1 << 18, 40 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -40,11 +40,12 @@ def byte_alphabet() -> list[str]:
 
 
 class Cache:
-    """A bounded map: two generations of at most GENERATION entries each."""
+    """A bounded map: two generations of at most GENERATION entries and about GENERATION_BYTES bytes each."""
 
     def __init__(self) -> None:
         self.young: dict = {}
         self.old: dict = {}
+        self.size = 0
 
     def get(self, key):
         if (value := self.young.get(key)) is None and (value := self.old.get(key)) is not None:
@@ -52,9 +53,25 @@ class Cache:
         return value
 
     def put(self, key, value) -> None:
-        if len(self.young) >= GENERATION:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
+        self.add({key: value})
+
+    def among(self, keys: set) -> dict:
+        """What is known of the keys."""
+        young, old = self.young.get, self.old.get
+        found = {k: v for k in keys if (v := young(k)) is not None}
+        if len(found) < len(keys) and self.old:
+            again = {k: v for k in keys - found.keys() if (v := old(k)) is not None}
+            self.add(again)
+            found |= again
+        return found
+
+    def add(self, values: dict) -> None:
+        """Keys are texts, or numbers beside small values."""
+        size = 150 * len(values) + sum(2 * len(k) for k in values if type(k) is str)
+        if len(self.young) + len(values) > GENERATION or self.size + size > GENERATION_BYTES:
+            self.old, self.young, self.size = self.young, {}, 0
+        self.size += size
+        self.young.update(values)
 
 
 class Words:
@@ -71,6 +88,7 @@ class Words:
         self.special = list(self.special_ids)
         self.pattern = regex.compile(WORDS)
         self.at_special = regex.compile("|".join(map(regex.escape, self.special)) or r"(?!)")
+        self.odd = regex.compile("|".join([r"\s\s", *map(regex.escape, self.special)]))
 
     @cached_property
     def tokenizer(self):
@@ -106,6 +124,12 @@ class Words:
             yield text[done:], False
 
 
+def _char_ends(data: bytes) -> np.ndarray:
+    """The places of the last bytes of UTF-8 characters."""
+    starts = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
+    return np.flatnonzero(np.append(starts[1:], True))
+
+
 class IntMap:
     """A fixed map from whole numbers to whole numbers, for many lookups at once; -1 for keys that it has not."""
 
@@ -147,6 +171,11 @@ class IntMap:
 SHORT = 1024
 #: Bytes of text whose new words are worked out together.
 TOGETHER = 2 << 20
+#: Chunks of more characters are not kept.
+CHUNK = 64
+#: Adds a number to every count of a chunk.
+_ADDED = [bytes(min(255, i + n) for i in range(256)) for n in range(256)]
+_BLANKS = regex.compile(r"\s{2,}")
 
 
 class Prefixes:
@@ -191,6 +220,7 @@ class Prefixes:
         self.token[list(own)] = list(own.values())
         self.edges = dict(edges)
         self.chunks, self.kept, self.pairs = Cache(), Cache(), Cache()
+        self.fresh: dict[str, bytes | list[int]] = {}
 
     def _apart(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | int = 1 << 20) -> np.ndarray:
         """Whether bytes that encode to tokens a and b by themselves still do so side by side.
@@ -240,11 +270,6 @@ class Prefixes:
         out[order] = count.T
         return out
 
-    def of_word(self, word: str) -> list[int]:
-        """Counts of one word's byte prefixes: entry i is that of its first i + 1 bytes."""
-        data = word.encode("utf-8", "surrogatepass")
-        return self.of_words([data])[0, 1:].tolist() if len(data) <= SHORT else self._long(data)
-
     def _long(self, word: bytes) -> list[int]:
         """The same programme for one long word, a byte at a time; its time is in proportion to its length."""
         n, edges, known = len(word), self.edges, self.pairs
@@ -268,74 +293,96 @@ class Prefixes:
         return count[1:]
 
     def count(self, texts: list[str]) -> list[int]:
-        """The number of tokens of every text.
+        """The number of tokens of every text."""
+        return [int(x[-1]) for x in self.counts(texts)]
+
+    def counts(self, texts: list[str]) -> list[np.ndarray]:
+        """For every text ``n_chars + 1`` counts: entry i is the number of tokens of its first i characters by themselves.
 
         A blank between two characters that are no white space always begins a word, so that texts fall into chunks
-        there, and chunks repeat. What is not yet known is worked out for all texts at once.
+        there, and chunks repeat: the counts of a chunk's prefixes are kept, and a text's are those of its chunks, each
+        with the tokens of the chunks before it added. What is not yet known is worked out for all texts at once.
         """
         known = self.chunks.young.get
-        split, values, new, odd = [], [], set(), set()
+        split, new, odd = [], set(), set()
         for i, text in enumerate(texts):
             first, *rest = text.split(" ")
             own = list(map(known, rest))
-            if None in own:
-                missing = [p for p, v in zip(rest, own) if v is None]
-                if not all(p and not p[0].isspace() and not p[-1].isspace() for p in missing):
-                    odd.add(i)
-                else:
-                    new.update(missing)
+            missing = {p for p, v in zip(rest, own) if v is None} if None in own else ()
+            new.update(missing)
             if not first or first[-1].isspace():
                 odd.add(i)
-            split.append((first, rest))
-            values.append(own)
-        found = {p: v for p in new if (v := self.chunks.old.get(p)) is not None}
-        new -= found.keys()
-        firsts = [(None if i in odd else first) for i, (first, _) in enumerate(split)]
-        whole = [*(" " + p for p in new), *(x for x in firsts if x), *(texts[i] for i in odd)]
-        sums = iter(self._sums(whole))
-        for p, n in zip(list(new), sums):
-            found[p] = n
-        for p, n in found.items():
-            self.chunks.put(p, n)
-        of_first = {i: next(sums) for i, x in enumerate(firsts) if x}
-        of_odd = {i: next(sums) for i in odd}
+            split.append((first, rest, own, missing))
+        blank = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+        if blank:
+            odd.update(i for i, x in enumerate(split) if not blank.isdisjoint(x[3]))
+            new -= blank
+        found = self.chunks.among(new)
+        new = list(new - found.keys())
+        firsts = [i for i in range(len(texts)) if i not in odd]
+        made = self._assembled([*(" " + p for p in new), *(split[i][0] for i in firsts)])
+        fresh = dict(zip(new, made))
+        of_first = dict(zip(firsts, made[len(new) :]))
+        self.chunks.add({p: v for p, v in fresh.items() if len(p) <= CHUNK})
+        found |= fresh
         out = []
-        for i, ((_, rest), own) in enumerate(zip(split, values)):
-            if None in own and i not in odd:
-                own = [found[p] if v is None else v for p, v in zip(rest, own)]
-            out.append(of_odd[i] if i in odd else of_first.get(i, 0) + sum(own))
+        for i, (_, rest, own, missing) in enumerate(split):
+            if i in odd:
+                out.append(self.of_text(texts[i]))
+                continue
+            parts = [of_first[i], *([found[p] if v is None else v for p, v in zip(rest, own)] if missing else own)]
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            try:
+                flat = np.frombuffer(b"".join(parts), np.uint8)
+            except TypeError:  # some are lists
+                flat = np.concatenate([np.frombuffer(x, np.uint8) if type(x) is bytes else x for x in parts])
+            last = flat[np.cumsum(sizes) - 1].astype(np.int32)
+            whole = np.zeros(len(flat) + 1, np.int32)
+            np.add(flat, np.repeat(np.cumsum(last, dtype=np.int32) - last, sizes), out=whole[1:])
+            out.append(whole)
         return out
 
-    def _sums(self, texts: list[str]) -> list[int]:
-        """Token counts of texts by their words."""
-        cut, special = [], []
-        for text in texts:
-            if self.words.at_special.search(text) is None:
-                cut.append(self.words.cut(text))
-                special.append(0)
-            else:
-                parts = list(self.words.segments(text))
-                cut.append([w for x, is_special in parts if not is_special for w in self.words.cut(x)])
-                special.append(sum(is_special for _, is_special in parts))
-        found: dict[str, int] = {}
-        new: dict[str, bytes] = {}
-        for w in {w for words in cut for w in words}:
-            if (n := self.kept.get(w)) is None:
-                new[w] = w.encode("utf-8", "surrogatepass")
-            else:
-                found[w] = n
-        by_size: dict[int, list[str]] = {}
-        for w, b in new.items():
-            by_size.setdefault(SHORT.bit_length() if len(b) > SHORT else (len(b) - 1).bit_length(), []).append(w)
-        for size, words in by_size.items():
-            if size >= SHORT.bit_length():
-                found.update((w, self._long(new[w])[-1]) for w in words)
-                continue
-            counts = self.of_words([new[w] for w in words])
-            for w, n in zip(words, counts[np.arange(len(words)), [len(new[w]) for w in words]].tolist()):
-                found[w] = n
-                self.kept.put(w, n)
-        return [n + sum(map(found.__getitem__, words)) for words, n in zip(cut, special)]
+    def _assembled(self, chunks: list[str]) -> list[bytes | list[int]]:
+        """Counts of the prefixes of each chunk, from one character on; as bytes where none is over 255."""
+        odd, words_of = self.words.odd.search, self.words.cut
+        cut = [() if odd(x) else words_of(x) for x in chunks]
+        self._learn({w for words in cut for w in words})
+        out, known = [], self.fresh.get
+        for chunk, words in zip(chunks, cut):
+            own = b""
+            for w in words:
+                grown = known(w)
+                if type(grown) is not bytes or own and own[-1] + len(grown) * 4 > 255 and own[-1] + max(grown) > 255:
+                    own = b""
+                    break
+                own = own + grown.translate(_ADDED[own[-1]]) if own else grown
+            out.append(own or self.of_text(chunk)[1:].tolist())
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        """Put the counts of the words' prefixes into ``fresh``, and into ``kept`` too; long words are left out."""
+        self.fresh = self.kept.among(words)
+        by_size: dict[int, list[tuple[str, bytes]]] = {}
+        for w in words - self.fresh.keys():
+            data = w.encode("utf-8", "surrogatepass")
+            if len(data) <= SHORT:
+                by_size.setdefault((len(data) - 1).bit_length(), []).append((w, data))
+        for same in by_size.values():
+            counts = self.of_words([b for _, b in same])
+            small, made = counts.astype(np.uint8), {}
+            for i, (w, b) in enumerate(same):
+                n = len(b)
+                if len(w) == n <= 255 and w not in SUFFIXES:
+                    value = small[i, 1 : n + 1].tobytes()
+                else:
+                    own = counts[i, 1 : n + 1][_char_ends(b)]
+                    if w in SUFFIXES and n > 2:
+                        # The apostrophe stands alone until the suffix is complete.
+                        own = np.array([1, *(1 + self.of_words([b[1:-1]])[0, 1:]), own[-1]])
+                    value = own.astype(np.uint8).tobytes() if own.max(initial=0) <= 255 else own.tolist()
+                made[w] = value
+            self.fresh |= made
+            self.kept.add(made)
 
     def of_text(self, text: str) -> np.ndarray:
         """``n_chars + 1`` counts: entry i is the number of tokens of ``text[:i]`` by itself."""
@@ -360,29 +407,30 @@ class Prefixes:
     def _ordinary(self, text: str) -> np.ndarray:
         out = np.zeros(len(text) + 1, np.int32)
         done = 0
-        for word in self.words.cut(text):
-            if word in SUFFIXES and len(word) > 2:
-                # The apostrophe stands alone until the suffix is complete.
-                grown = [1, *(1 + x for x in self._by_char(word[1:-1])), self.of_word(word)[-1]]
-            else:
-                grown = self._by_char(word)
-            out[done + 1 : done + len(word) + 1] = out[done] + np.array(grown, np.int32)
+        words = self.words.cut(text)
+        runs = list(_BLANKS.finditer(text))
+        own = self.fresh
+        self._learn({*words, *(m[0] for m in runs)})
+        own, self.fresh = self.fresh, own
+        for word in words:
+            out[done + 1 : done + len(word) + 1] = out[done] + self._by_char(word, own)
             done += len(word)
-        for run in regex.finditer(r"\s{2,}", text):
+        for run in runs:
             # A run of white space at a prefix's end is one word; what follows may take its last character away.
-            own = out[run.start()]
-            out[run.start() + 1 : run.end() + 1] = own + np.array(self._by_char(run[0]), np.int32)
+            out[run.start() + 1 : run.end() + 1] = out[run.start()] + self._by_char(run[0], own)
         return out
 
-    def _by_char(self, word: str) -> list[int]:
-        counts = self.of_word(word)
-        if len(counts) == len(word):
-            return counts
-        ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in word])
-        return [counts[e - 1] for e in ends]
+    def _by_char(self, word: str, known: dict) -> np.ndarray:
+        if (grown := known.get(word)) is not None:
+            return np.frombuffer(grown, np.uint8).astype(np.int32) if type(grown) is bytes else np.array(grown, np.int32)
+        data = word.encode("utf-8", "surrogatepass")
+        counts = np.array(self._long(data), np.int32)
+        return counts if len(data) == len(word) else counts[_char_ends(data)]
 
     def longest_within(self, counts: np.ndarray, budget: int) -> int:
         """The length in characters of the longest prefix of at most ``budget`` tokens."""
+        if counts[-1] <= budget:
+            return len(counts) - 1
         fits = np.flatnonzero(counts <= budget)
         return int(fits[-1]) if len(fits) else 0
 
@@ -397,37 +445,38 @@ def loaded(kind: type, path: str):
     return _loaded[kind, path]
 
 
-def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", prefixes: bool = False) -> DataFrame:
-    """``id, n_bytes, n_tokens`` for every row of ``docs``, and with ``prefixes`` also ``prefix_tokens array<int>``.
+def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", prefixes: bool = False, budgets: tuple[int, ...] = ()) -> DataFrame:
+    """``id, n_bytes, n_tokens`` for every row of ``docs``; for each of ``budgets`` also ``within_BUDGET long``, and with
+    ``prefixes`` also ``prefix_tokens array<int>``.
 
     path: a byte-level BPE file of the ``tokenizers`` library, found on every executor; special strings inside texts
-    count as one token, as they do there by default. prefix_tokens: entry i is the exact count of the first i code
-    points, whatever comes after them; see ``fit`` and ``within``. Null texts are empty: no tokens, one entry 0. Rows
-    are independent; repeated rows repeat, no rows give none, other columns are not read. No shuffle.
+    count as one token, as they do there by default. The counts of all prefixes of a text are made and answer all: entry i
+    is the exact count of the first i code points, whatever comes after them. within_BUDGET: the code points of the
+    longest prefix of no more tokens. prefix_tokens stores the counts; see ``fit`` and ``within``. Null texts are empty: no
+    tokens, one entry 0. Rows are independent; repeated rows repeat, no rows give none, other columns are not read. No
+    shuffle. Several texts are worked on at once, but no more than TOGETHER bytes or one text.
     """
     ready(docs.sparkSession)
     narrow = docs.select(F.col(id_col), F.col(text_col).alias("text"))
-    schema = f"`{id_col}` {narrow.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long" + ", prefix_tokens array<int>" * prefixes
+    answers = [f"within_{x}" for x in budgets]
+    schema = f"`{id_col}` {narrow.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long" + "".join(f", {x} long" for x in answers) + ", prefix_tokens array<int>" * prefixes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter: Prefixes = loaded(Prefixes, path)
         for batch in batches:
             texts = [x or b"" for x in utf8(batch.column(1))]
-            n_bytes, n_tokens, all_ = list(map(len, texts)), [], []
-            if prefixes:
-                all_ = [counter.of_text(x.decode("utf-8", "replace")) for x in texts]
-                n_tokens = [int(x[-1]) for x in all_]
-            else:
-                low = 0
-                while low < len(texts):
-                    high, size = low, 0
-                    while high < len(texts) and size < TOGETHER:
-                        size += n_bytes[high]
-                        high += 1
-                    n_tokens += counter.count([x.decode("utf-8", "replace") for x in texts[low:high]])
-                    low = high
-            columns = [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())] + [pa.array(all_, pa.list_(pa.int32()))] * prefixes
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "n_bytes", "n_tokens", "prefix_tokens"][: len(columns)])
+            low = 0
+            while low < len(texts):
+                high, size = low, 0
+                while high < len(texts) and (size + len(texts[high]) <= TOGETHER or high == low):
+                    size += len(texts[high])
+                    high += 1
+                found = counter.counts([x.decode("utf-8", "replace") for x in texts[low:high]])
+                columns = [batch.column(0).slice(low, high - low), pa.array(list(map(len, texts[low:high])), pa.int64()), pa.array([int(x[-1]) for x in found], pa.int64())]
+                columns += [pa.array([counter.longest_within(x, budget) for x in found], pa.int64()) for budget in budgets]
+                columns += [pa.array(found, pa.list_(pa.int32()))] * prefixes
+                yield pa.RecordBatch.from_arrays(columns, [id_col, "n_bytes", "n_tokens", *answers, "prefix_tokens"][: len(columns)])
+                low = high
 
     return narrow.mapInArrow(run, schema)
 
