@@ -344,11 +344,14 @@ class Prefixes:
 
     def _assembled(self, chunks: list[str]) -> list[bytes | list[int]]:
         """Counts of the prefixes of each chunk, from one character on; as bytes where none is over 255."""
+        # A blank and letters are one word; most chunks are.
+        alone = [x for x in chunks if x[1:].isalpha() and x[0] == " " and len(x) <= CHUNK and (x.isascii() or _ODD.search(x) is None)]
+        made = dict(zip(alone, self._grown(alone)))
         odd, words_of = self.words.odd.search, self.words.cut
-        cut = [() if odd(x) else words_of(x) for x in chunks]
-        self._learn({w for words in cut for w in words})
-        out, known = [], self.fresh.get
-        for chunk, words in zip(chunks, cut):
+        cut = {x: () if odd(x) else words_of(x) for x in chunks if x not in made}
+        self._learn({w for words in cut.values() for w in words})
+        known = self.fresh.get
+        for chunk, words in cut.items():
             own = b""
             for w in words:
                 grown = known(w)
@@ -356,33 +359,43 @@ class Prefixes:
                     own = b""
                     break
                 own = own + grown.translate(_ADDED[own[-1]]) if own else grown
-            out.append(own or self.of_text(chunk)[1:].tolist())
-        return out
+            made[chunk] = own or self.of_text(chunk)[1:].tolist()
+        return [made[x] for x in chunks]
 
     def _learn(self, words: set[str]) -> None:
         """Put the counts of the words' prefixes into ``fresh``, and into ``kept`` too; long words are left out."""
         self.fresh = self.kept.among(words)
-        by_size: dict[int, list[tuple[str, bytes]]] = {}
-        for w in words - self.fresh.keys():
-            data = w.encode("utf-8", "surrogatepass")
-            if len(data) <= SHORT:
-                by_size.setdefault((len(data) - 1).bit_length(), []).append((w, data))
+        new = [w for w in words - self.fresh.keys() if len(w) <= SHORT and (w.isascii() or len(w.encode("utf-8", "surrogatepass")) <= SHORT)]
+        made = dict(zip(new, self._grown(new)))
+        for w in made.keys() & set(SUFFIXES):
+            if len(w) > 2:
+                # The apostrophe stands alone until the suffix is complete.
+                made[w] = bytes([1, *(1 + x for x in self._grown([w[1:-1]])[0]), made[w][-1]])
+        self.fresh |= made
+        self.kept.add(made)
+
+    def _grown(self, words: list[str]) -> list[bytes | list[int]]:
+        """Counts of the prefixes, in characters, of words of at most SHORT bytes."""
+        by_size: dict[int, list[int]] = {}
+        data = [w.encode("utf-8", "surrogatepass") for w in words]
+        for i, b in enumerate(data):
+            by_size.setdefault((len(b) - 1).bit_length(), []).append(i)
+        out: list[bytes | list[int]] = [b""] * len(words)
         for same in by_size.values():
-            counts = self.of_words([b for _, b in same])
-            small, made = counts.astype(np.uint8), {}
-            for i, (w, b) in enumerate(same):
-                n = len(b)
-                if len(w) == n <= 255 and w not in SUFFIXES:
-                    value = small[i, 1 : n + 1].tobytes()
-                else:
-                    own = counts[i, 1 : n + 1][_char_ends(b)]
-                    if w in SUFFIXES and n > 2:
-                        # The apostrophe stands alone until the suffix is complete.
-                        own = np.array([1, *(1 + self.of_words([b[1:-1]])[0, 1:]), own[-1]])
-                    value = own.astype(np.uint8).tobytes() if own.max(initial=0) <= 255 else own.tolist()
-                made[w] = value
-            self.fresh |= made
-            self.kept.add(made)
+            own = [data[i] for i in same]
+            counts = self.of_words(own)[:, 1:]
+            width = counts.shape[1]
+            byte = np.frombuffer(b"".join([b.ljust(width + 1, b"\0") for b in own]), np.uint8).reshape(len(own), width + 1)
+            # The last bytes of characters: those not followed by a byte that goes on with one.
+            ends = ((byte[:, 1:] & 0xC0) != 0x80) & (np.arange(width) < np.fromiter(map(len, own), np.int64, len(own))[:, None])
+            stops = np.cumsum(ends.sum(1)).tolist()
+            flat = counts[ends]
+            small = flat.astype(np.uint8).tobytes()
+            for i, a, b in zip(same, [0, *stops], stops):
+                out[i] = small[a:b]
+                if width > 255 and flat[a:b].max(initial=0) > 255:
+                    out[i] = flat[a:b].tolist()
+        return out
 
     def of_text(self, text: str) -> np.ndarray:
         """``n_chars + 1`` counts: entry i is the number of tokens of ``text[:i]`` by itself."""
