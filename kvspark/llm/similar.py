@@ -3,8 +3,9 @@
 Texts whose sets of shingles have a Jaccard similarity of 0.8 differ in about ten of 64 fingerprint bits and hardly ever in
 more than 18. With so wide a budget there are no blocks of bits that two fingerprints must agree on and that tell texts
 apart, so the trie is joined with itself in buckets of another kind: texts that share a smallest shingle under one of
-``MINS`` permutations. Two texts of similarity 0.8 share none of six with a chance of 0.2 ** 6. In a bucket, trie nodes descend
-together, errors are added up, and pairs beyond the budget are pruned; what is left is confirmed on the whole sets.
+``MINS`` permutations. Two texts of similarity 0.8 share none of five with a chance of 0.2 ** 5. In a bucket, trie nodes
+descend together, errors are added up, and pairs beyond the budget are pruned. What is left is confirmed on the whole sets,
+which come to the bucket's task: no pair leaves it but those of a spanning forest of confirmed links.
 """
 
 from __future__ import annotations
@@ -26,9 +27,13 @@ P, Q = 4, 5
 #: Bits by which fingerprints of such texts may differ.
 BUDGET = 18
 #: Smallest shingles whose buckets a text enters, and further ones by which too large a bucket is divided.
-MINS, FURTHER = 6, 8
-#: Texts of a bucket that meet in one task.
-BUCKET = 1 << 12
+MINS, FURTHER = 5, 8
+#: Texts of a bucket, and shingles of theirs, that meet in one task (twice that, if a bucket is cut).
+BUCKET, SHINGLES = 1 << 12, 1 << 20
+#: Pairs that are confirmed at once; links found prune the next ones.
+PAIRS = 1 << 12
+#: The label of rows that have a near one already: where all have it, no more are asked for.
+ASKED = -(1 << 40)
 #: Texts whose sets are handed on at once.
 ROWS = 256
 #: Pairs or shingles that are worked on at once.
@@ -95,9 +100,10 @@ def text_key(text: bytes | None) -> int:
 
 
 def _sized(rows: DataFrame, total: int) -> DataFrame:
-    """Rows (bucket, node, ...) of buckets of two or more, with the bucket's size ``n_rows``."""
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    return hub_join(rows, sizes.withColumn("n_rows", F.col("n")), "bucket", "node", total)
+    """Rows (bucket, node, fp, n) of buckets of two or more, with the number of ``parts`` into which the bucket is cut."""
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n").alias("shingles")).where("n > 1")
+    parts = F.greatest(F.ceil(F.col("n") / BUCKET), F.ceil(F.col("shingles") / SHINGLES)).cast("int")
+    return hub_join(rows, sizes.select("bucket", "n", parts.alias("parts")), "bucket", "node", total)
 
 
 def _shared(nodes: DataFrame, total: int) -> DataFrame:
@@ -109,100 +115,139 @@ def _shared(nodes: DataFrame, total: int) -> DataFrame:
     """
     spread = nodes.select("node", "fp", "n", F.explode(F.array_distinct(F.array(*_MINS[:MINS]))).alias("bucket"))
     met = stored(_sized(spread, MINS * total))
-    small, large = met.where(F.col("n_rows") <= BUCKET), met.where(F.col("n_rows") > BUCKET)
-    again = large.select("bucket", "node").join(nodes.select("node", "fp", "n", *_MINS[MINS:]), "node")
+    again = met.where("parts > 1").select("bucket", "node").join(nodes.select("node", "fp", "n", *_MINS[MINS:]), "node")
     again = again.select("node", "fp", "n", F.explode(F.array_distinct(F.transform(F.array(*_MINS[MINS:]), lambda m: F.xxhash64("bucket", m)))).alias("bucket"))
-    divided = _sized(again, FURTHER * MINS * total).withColumn("n_rows", F.ceil(F.col("n_rows") / BUCKET))
-    columns = ["bucket", "node", "fp", "n"]
-    return small.select(*columns, F.lit(1).alias("parts")).unionByName(divided.select(*columns, F.col("n_rows").cast("int").alias("parts")))
+    return met.where("parts = 1").unionByName(_sized(again, FURTHER * MINS * total))
 
 
-def _dealt(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of one meeting together and in trie order: ``bucket, p, q, fp, node, n, root``."""
-    at = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+MEETING = "bucket long, p long, q long, fp long, node long, n long"
+_KEY = ["bucket", "p", "q"]
+
+
+def _dealt(shared: DataFrame) -> DataFrame:
+    """Rows of one meeting together and in trie order: the columns of MEETING."""
+    at = shared.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("p"), F.greatest(o, F.col("part")).alias("q")))
-    met = at.select("bucket", "fp", "node", "n", "root", F.explode(cells).alias("cell")).select("bucket", F.col("cell.p").cast("long").alias("p"), F.col("cell.q").cast("long").alias("q"), "fp", "node", "n", "root")
-    return met.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "fp")
+    met = at.select("bucket", "fp", "node", "n", F.explode(cells).alias("cell")).select("bucket", F.col("cell.p").cast("long").alias("p"), F.col("cell.q").cast("long").alias("q"), "fp", "node", "n")
+    return met.repartition(*_KEY).sortWithinPartitions(*_KEY, "fp")
 
 
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Rows of whole meetings, of two rows or more each."""
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Rows of whole meetings, and the sets in a seventh column if there is one."""
     held: list[np.ndarray] = []
+    sets: list[np.ndarray] = []
     for batch in batches:
-        rows = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), np.int64) for c in batch.columns], 1)
-        if not len(rows):
+        if not batch.num_rows:
             continue
+        rows = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), np.int64) for c in batch.columns[:6]], 1)
+        own: list[np.ndarray] = []
+        if batch.num_columns > 6:
+            column = batch.column(6)
+            ends = column.offsets.to_numpy()
+            flat = column.values.to_numpy().copy()
+            own = [flat[a:b] for a, b in zip(ends, ends[1:])]
         # The last meeting may go on in the next batch.
         same = (rows[:, :3] == rows[-1, :3]).all(1)
-        cut = len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0
+        cut = 0 if same.all() else len(rows) - int(np.argmin(same[::-1]))
         if cut or held and (held[0][-1, :3] != rows[0, :3]).any():
-            yield np.concatenate([*held, rows[:cut]])
-            held = []
+            yield np.concatenate([*held, rows[:cut]]), sets + own[:cut]
+            held, sets = [], []
         held.append(rows[cut:])
+        sets = sets + own[cut:]
     if held:
-        yield np.concatenate(held)
+        yield np.concatenate(held), sets
 
 
-def _apart(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs of rows may be similar by their sizes and lie in different components."""
-    m, n = rows[a, 5], rows[b, 5]
-    return (rows[a, 6] != rows[b, 6]) & (Q * np.minimum(m, n) >= P * np.maximum(m, n))
+class _Leaves:
+    """The sets of rows, seen from leaves: a leaf whose rows lie in several sets has a label of its own."""
 
+    def __init__(self, sets: _Sets, first: np.ndarray, whole: bool):
+        self.sets, self.first, self.whole = sets, first, whole
 
-def _edges(rows: np.ndarray, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one meeting each that may be similar: a forest of them, or all between components."""
+    @property
+    def label(self) -> np.ndarray:
+        if self.whole:
+            return self.sets.label[self.first]
+        low, high = (f.reduceat(self.sets.label, self.first) for f in (np.minimum, np.maximum))
+        return np.where(low == high, low, -1 - np.arange(len(low)))
+
+
+def _pairs(rows: np.ndarray, sets: _Sets) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one meeting each, of near fingerprints; those wholly in one set of ``sets`` are pruned."""
     new = np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(1)])
     first = np.flatnonzero(new | np.concatenate([[True], rows[1:, 3] != rows[:-1, 3]]))  # a leaf is a run of equal fingerprints
     last = np.append(first[1:], len(rows))
-    leaf_new = new[first]
-    roots = np.flatnonzero(leaf_new)
-    roots = np.stack([roots, np.append(roots[1:], len(first))], 1)
     wide = last - first > 1
-    # Within a leaf.
     for s, e in zip(first[wide].tolist(), last[wide].tolist()):
-        for at in range(s, s + 1 if forest else e - 1):
-            for to in range(at + 1, e, BATCH):
-                b = np.arange(to, min(to + BATCH, e))
-                yield np.full(len(b), at), b
-    sets = _Sets(len(first))
-    if forest:
-        # What one component holds already needs no edge: its leaves of one meeting start as one set.
-        order = np.lexsort((np.arange(len(first)), rows[first, 6], np.cumsum(leaf_new)))
-        key = np.stack([np.cumsum(leaf_new)[order], rows[first[order], 6]], 1)
-        begins = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
-        sets.label[order] = np.repeat(order[begins], np.diff(np.append(begins, len(order))))
-    else:
-        # A leaf of one component carries its name; one of several is never pruned.
-        whole = np.minimum.reduceat(rows[:, 6], first) == np.maximum.reduceat(rows[:, 6], first)
-        sets.label = np.where(whole, np.unique(rows[first, 6], return_inverse=True)[1], -1 - np.arange(len(first)))
-    leaves = np.ascontiguousarray(rows[first, 3]).view(np.uint64)
+        for at in range(s, e - 1):
+            yield np.full(e - 1 - at, at), np.arange(at + 1, e)
+    starts = np.flatnonzero(new[first])
+    roots = np.stack([starts, np.append(starts[1:], len(first))], 1)
     # Signed order is trie order but for the first bit, whose halves are swapped.
-    leaves = leaves ^ np.uint64(1 << 63)
-    for a, b in descend(leaves, roots[roots[:, 1] - roots[:, 0] > 1], 0, BUDGET, sets):
-        if forest:
-            fits = _apart(rows, first[a], first[b])
-            for x, y in sets.union(a[fits], b[fits]):
-                yield first[x], first[y]
-            continue
-        thin = ~wide[a] & ~wide[b]
+    leaves = np.ascontiguousarray(rows[first, 3]).view(np.uint64) ^ np.uint64(1 << 63)
+    for a, b in descend(leaves, roots[roots[:, 1] - roots[:, 0] > 1], 0, BUDGET, _Leaves(sets, first, not wide.any())):
+        thin = ~(wide[a] | wide[b])
         yield first[a[thin]], first[b[thin]]
         for x, y in zip(a[~thin].tolist(), b[~thin].tolist()):
             for at in range(first[x], last[x]):
-                for to in range(first[y], last[y], BATCH):
-                    own = np.arange(to, min(to + BATCH, last[y]))
-                    yield np.full(len(own), at), own
+                yield np.full(last[y] - first[y], at), np.arange(first[y], last[y])
 
 
-def _candidates(forest: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _meetings(batches):
-            for a, b in _edges(rows, forest):
-                fits = _apart(rows, a, b)
-                x, y = rows[a[fits], 4], rows[b[fits], 4]
+def _fitting(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of rows may be similar by their sizes."""
+    m, n = rows[a, 5], rows[b, 5]
+    return Q * np.minimum(m, n) >= P * np.maximum(m, n)
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that have another in their meeting whose fingerprint and size are near."""
+    for rows, _ in _meetings(batches):
+        sets, found = _Sets(len(rows)), np.zeros(len(rows), bool)
+        for a, b in _pairs(rows, sets):
+            fits = _fitting(rows, a, b)
+            found[a[fits]] = found[b[fits]] = True
+            sets.label[found] = ASKED
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in rows[found].T], [*_KEY, "fp", "node", "n"])
+
+
+class _Overlaps:
+    """Exact sizes of the intersections of many pairs of a few sets."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets = sets
+        flat = np.concatenate(sets)
+        value, place, times = np.unique(flat, return_inverse=True, return_counts=True)
+        often = times > 1  # what only one set holds is in no intersection
+        self.words = -(-int(often.sum()) // 64)
+        self.bits = None
+        if self.words * len(sets) <= 1 << 21 and self.words <= 4096:
+            rank = np.cumsum(often) - 1
+            keep = often[place]
+            owner, at = np.repeat(np.arange(len(sets)), list(map(len, sets)))[keep], rank[place[keep]]
+            self.bits = np.zeros((len(sets), max(1, self.words)), np.uint64)
+            np.bitwise_or.at(self.bits, (owner, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            return np.array([len(np.intersect1d(self.sets[x], self.sets[y], assume_unique=True)) for x, y in zip(a.tolist(), b.tolist())], np.int64)
+        return np.bitwise_count(self.bits[a] & self.bits[b]).sum(1, dtype=np.int64)
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``a, b``: a spanning forest of the links of each meeting. Sets that a link has joined are not compared again."""
+    for rows, held in _meetings(batches):
+        sets, overlaps, edges = _Sets(len(rows)), _Overlaps(held), []
+        for a, b in _pairs(rows, sets):
+            for at in range(0, len(a), PAIRS):
+                x, y = a[at : at + PAIRS], b[at : at + PAIRS]
+                open_ = (sets.label[x] != sets.label[y]) & _fitting(rows, x, y)
+                x, y = x[open_], y[open_]
                 if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-    return run
+                    linked = (P + Q) * overlaps.of(x, y) >= P * (rows[x, 5] + rows[y, 5])
+                    edges += sets.union(x[linked], y[linked])
+        if edges:
+            a, b = (rows[np.concatenate([e[i] for e in edges]), 4] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
 def _bits(keys: np.ndarray) -> np.ndarray:
@@ -219,7 +264,7 @@ def _filter(keys: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(seen).tobytes()], pa.binary())], ["bits"])
 
     tables = keys.coalesce(max(1, min(keys.rdd.getNumPartitions(), 64))).mapInArrow(run, "bits binary").rdd.map(lambda r: np.frombuffer(bytes(r[0]), np.uint8))
-    return np.unpackbits(tables.treeReduce(np.bitwise_or)).astype(bool)
+    return np.unpackbits(tables.treeAggregate(np.zeros(FILTER // 8, np.uint8), np.bitwise_or, np.bitwise_or)).astype(bool)
 
 
 def _sets_of(texts: DataFrame, words: int, wanted: np.ndarray) -> DataFrame:
@@ -239,38 +284,22 @@ def _sets_of(texts: DataFrame, words: int, wanted: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, "node long, held array<long>")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame | None:
-    """``a, b`` of the pairs whose whole sets are similar enough. Sets are made anew, and only of texts in a pair."""
-    left = stored(pairs.distinct())
-    total = left.count()
-    if not total:
-        return None
-    of_a, of_b = (left.groupBy(F.col(c).alias("node")).agg(F.count("*").alias("n")) for c in "ab")
-    both = of_a.select("node").unionByName(of_b.select("node")).distinct()
-    wanted = _filter(nodes.join(both, "node", "left_semi").select("text_key"))
-    held = stored(_sets_of(texts, words, wanted).join(both, "node", "left_semi").groupBy("node").agg(F.first("held").alias("held")))
-    one = hub_join(left.withColumnRenamed("a", "node"), held.join(of_a, "node"), "node", "b", total).select(F.col("node").alias("a"), F.col("b").alias("node"), F.col("held").alias("x"))
-    two = hub_join(one, held.join(of_b, "node"), "node", "a", total).select("a", F.col("node").alias("b"), "x", F.col("held").alias("y"))
-    return stored(two.where((P + Q) * F.size(F.array_intersect("x", "y")) >= P * (F.size("x") + F.size("y"))).select("a", "b"))
-
-
 def groups(docs: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame]:
     """``id, node, n_copies`` of every row of ``docs`` (id, text), and ``node, root`` of the nodes that have a similar other.
 
     Rows of one node have equal shingle sets; texts without words share one. Nodes of one root are linked by pairs of
-    similarity 0.8 or more. First a forest of likely pairs of every bucket is confirmed, then all pairs that are still apart;
-    so a group of near copies costs a few edges a text, not its pairs. Nulls are empty texts; repeated rows share a node; no rows give none. Texts are read once, and
-    those in a pair again; what is shuffled is 150 bytes a distinct text and the sets of texts in a pair.
+    similarity 0.8 or more. Each bucket's task confirms what it has to and gives a spanning forest of its links, so a group
+    of near copies costs a few edges a text, not its pairs, and neither do texts that are nearly near copies. Nulls are
+    empty texts; repeated rows share a node; no rows give none. Texts are read once, and those with a near fingerprint
+    in a bucket again; what is shuffled is about 250 bytes a distinct text, and the sets of the latter once a bucket.
     """
-    spark = docs.sparkSession
-    ready(spark)
+    ready(docs.sparkSession)
     texts = docs.select(docs.columns[1])
     marked = stored(sketches(docs, words))
     nodes = stored(marked.groupBy("node").agg(F.min("text_key").alias("text_key"), *(F.max(c).alias(c) for c in ["fp", "n", *_MINS])))
-    shared = stored(_shared(nodes, nodes.count()))
-    roots = spark.createDataFrame([], "node long, root long")
-    for forest in (True, False):
-        found = _confirmed(_dealt(shared, roots).mapInArrow(_candidates(forest), EDGES), nodes, texts, words)
-        if found is not None:
-            roots = components(found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    return marked.select("id", "node"), roots
+    near = stored(_dealt(_shared(nodes, nodes.count())).mapInArrow(_near, MEETING))
+    asked = near.select("node").distinct()
+    wanted = _filter(nodes.join(asked, "node", "left_semi").select("text_key"))
+    held = _sets_of(texts, words, wanted).join(asked, "node", "left_semi").groupBy("node").agg(F.first("held").alias("held"))
+    met = near.join(held, "node").repartition(*_KEY).sortWithinPartitions(*_KEY, "fp")
+    return marked.select("id", "node"), components(met.select(*_KEY, "fp", "node", "n", "held").mapInArrow(_linked, EDGES))

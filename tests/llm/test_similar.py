@@ -59,6 +59,7 @@ def corpus() -> dict:
 def test_groups_are_those_of_all_similar_pairs(spark, monkeypatch, bucket, batch):
     monkeypatch.setattr(similar, "BUCKET", bucket)
     monkeypatch.setattr(similar, "BATCH", batch)
+    monkeypatch.setattr(similar, "PAIRS", batch)
     texts = corpus()
     want = plain_groups(texts)
     assert grouped(spark, texts) == want and 30 < len(set(want.values())) < len(texts)
