@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import discard, written
 
 
+#: Edges in one file between rounds.
+TOGETHER = 1 << 18
 #: Keys with no more rows than this are never dealt over several parts.
 FEW = 64
 
@@ -53,6 +55,7 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             break
         old, seen = path, state
-        e, path = written(star(star(e, True, 2 * state[0]), False, 2 * state[0]))
+        # Edges get fewer from round to round; so should the files and tasks that hold them.
+        e, path = written(star(star(e, True, 2 * state[0]), False, 2 * state[0]).coalesce(1 + state[0] // TOGETHER))
         discard(e.sparkSession, old)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

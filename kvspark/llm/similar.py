@@ -114,7 +114,7 @@ def _shared(nodes: DataFrame, total: int) -> DataFrame:
     and every two parts meet.
     """
     spread = nodes.select("node", "fp", "n", F.explode(F.array_distinct(F.array(*_MINS[:MINS]))).alias("bucket"))
-    met = stored(_sized(spread, MINS * total))
+    met = _sized(spread, MINS * total)
     again = met.where("parts > 1").select("bucket", "node").join(nodes.select("node", "fp", "n", *_MINS[MINS:]), "node")
     again = again.select("node", "fp", "n", F.explode(F.array_distinct(F.transform(F.array(*_MINS[MINS:]), lambda m: F.xxhash64("bucket", m)))).alias("bucket"))
     return met.where("parts = 1").unionByName(_sized(again, FURTHER * MINS * total))
