@@ -88,13 +88,25 @@ def successor_of(key: bytes) -> bytes:
     return key if at is None else key[:at] + bytes([key[at] + 1])
 
 
-@F.pandas_udf(T.BinaryType())
-def shortest_separator(start: pd.Series, limit: pd.Series) -> pd.Series:
+def _number(b: Column, at: Column) -> Column:
+    return F.conv(F.hex(F.substring(b, at + 1, F.lit(1))), 16, 10).cast("long")
+
+
+def _raised(b: Column, at: Column) -> Column:
+    """The bytes up to ``at``, with that one raised by one."""
+    return F.concat(F.substring(b, F.lit(1), at), F.unhex(F.lpad(F.hex(_number(b, at) + 1), 2, "0")))
+
+
+def shortest_separator(start: Column, limit: Column) -> Column:
     """``separator_of`` for columns; null where either is (OP-62)."""
-    return pd.Series([None if a is None or b is None else separator_of(a, b) for a, b in zip(start, limit)], dtype=object)
+    # The longest run of whole bytes that both begin with.
+    common = F.regexp_extract(F.concat(F.hex(start), F.lit("|"), F.hex(limit)), r"^((?:..)*)[^|]*\|\1", 1)
+    at = (F.length(common) / 2).cast("int")
+    inside = at < F.least(F.octet_length(start), F.octet_length(limit))
+    return F.when(start.isNull() | limit.isNull(), F.lit(None).cast("binary")).when(inside & (_number(start, at) + 1 < _number(limit, at)), _raised(start, at)).otherwise(start)
 
 
-@F.pandas_udf(T.BinaryType())
-def short_successor(key: pd.Series) -> pd.Series:
+def short_successor(key: Column) -> Column:
     """``successor_of`` for a column; null stays (OP-62)."""
-    return pd.Series([None if k is None else successor_of(k) for k in key], dtype=object)
+    at = (F.length(F.regexp_extract(F.hex(key), "^((?:FF)*)", 1)) / 2).cast("int")
+    return F.when(at < F.octet_length(key), _raised(key, at)).otherwise(key)

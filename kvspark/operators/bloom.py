@@ -34,8 +34,17 @@ def as_words(filters: DataFrame, block: list[str]) -> DataFrame:
 
 
 def probe(filters: DataFrame, probes: DataFrame, block: list[str], bits: int, hashes: int = ONE_PERCENT[0], key: str = "key_long") -> DataFrame:
-    """Blocks that may hold each probe: all of its bits are set there. Equal positions of one key count once."""
-    asked = _positions(probes.select(key).distinct(), bits, hashes, key).distinct()
-    need = asked.groupBy(key).agg(F.count("*").alias("need"))
-    met = asked.join(filters, "bit").groupBy(key, *block).agg(F.count("*").alias("met"))
-    return met.join(need, key).where("met = need").select(key, *block)
+    """Blocks that may hold each probe: all of its bits are set there. The last of the block's columns is a number. Equal positions of one key count once.
+
+    Filters are turned on their side: for 64 blocks together, each bit has one number that says in which of them it is set.
+    A probe's bits meet one number each for 64 blocks, and what all of them have in common is the answer.
+    """
+    *others, last = block
+    lane = F.pmod(F.col(last), F.lit(64)).cast("int")
+    turned = filters.groupBy(*others, F.floor(F.col(last) / 64).cast("long").alias("_chunk"), "bit").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), lane)).alias("_set"))
+    asked = probes.select(key).distinct().withColumn("_bits", F.array_distinct(F.array(*[bloom_position(F.col(key), F.lit(i), bits) for i in range(hashes)])))
+    asked = asked.select(key, F.size("_bits").alias("_need"), F.explode("_bits").alias("bit"))
+    met = asked.join(turned, "bit").groupBy(key, "_need", *others, "_chunk").agg(F.bit_and("_set").alias("_all"), F.count("*").alias("_met")).where("_met = _need and _all <> 0")
+    lanes = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("_all", i) == 1)
+    found = met.select(key, *others, "_chunk", F.explode(lanes).alias("_lane"))
+    return found.select(key, *others, (F.col("_chunk") * 64 + F.col("_lane")).cast(filters.schema[last].dataType).alias(last))

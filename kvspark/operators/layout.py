@@ -64,10 +64,20 @@ def zone_map(df: DataFrame, zone: list[str], key: str = "key_long", record: int
     return df.groupBy(*zone).agg(F.min(key).alias("smallest"), F.max(key).alias("largest"), F.count("*").alias("n"), (F.count("*") * record).alias("file_size"))
 
 
+#: Ranges of keys by which zones and probes meet.
+RANGES = 1024
+
+
 def zone_candidates(zones: DataFrame, probes: DataFrame, key: str = "key_long") -> DataFrame:
-    """Zones that may hold each probe; limits count as inside (OP-34).
+    """Zones that may hold each probe; limits count as inside (OP-34). Probes are made distinct first.
 
-    A range join. Zones are metadata, one row for a whole file; whether they are small enough to be broadcast is
-    decided by their size. Probes are made distinct first.
+    The keys that zones span are cut into RANGES ranges; a zone stands in each that it touches, and a probe meets the zones
+    of its own by an equal join. Two numbers, the span's ends, go to the driver.
     """
-    return probes.select(key).distinct().join(zones, F.col(key).between(F.col("smallest"), F.col("largest")))
+    low, high = zones.agg(F.min("smallest"), F.max("largest")).first()
+    width = max(1.0, ((high or 0) - (low or 0)) / RANGES)
+    # Rounding never turns the order of two keys, so a key between limits lies in a range between theirs.
+    place = lambda k: F.floor((k.cast("double") - float(low or 0)) / width)
+    spread = zones.withColumn("_range", F.explode(F.sequence(place(F.col("smallest")), place(F.col("largest")))))
+    asked = probes.select(key).distinct().withColumn("_range", place(F.col(key)))
+    return asked.join(spread, "_range").where(F.col(key).between(F.col("smallest"), F.col("largest"))).drop("_range")

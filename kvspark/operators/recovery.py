@@ -17,9 +17,12 @@ def valid_prefix(df: DataFrame, sizes: DataFrame, group: str = "grp", record: in
 
 def trim_zero_tail(df: DataFrame, page: int, group: str = "grp", value: str = "value", slot: str = "slot") -> DataFrame:
     """Per group ``n_slots, n_real``: slots up to the first all-zero value of the last page of ``page`` records."""
-    n = df.groupBy(group).agg((F.max(slot) + 1).alias("n_slots"))
-    first = F.min(F.when(all_zero(F.col(value)) & (F.col(slot) >= F.col("n_slots") - page), F.col(slot)))
-    return df.join(n, group).groupBy(group, "n_slots").agg(F.coalesce(first, F.first("n_slots")).alias("n_real"))
+    flags = df.select(group, F.col(slot).alias("slot"), all_zero(F.col(value)).alias("zero"))  # a bit, not the value, is shuffled
+    n = flags.groupBy(group).agg((F.max("slot") + 1).alias("n_slots"), F.max(F.when(F.col("zero"), F.col("slot"))).alias("last_zero"))
+    # Only groups with a zero in their last page have anything to trim.
+    some = n.where(F.col("last_zero") >= F.col("n_slots") - page)
+    first = flags.where("zero").join(some, group).where(F.col("slot") >= F.col("n_slots") - page).groupBy(group).agg(F.min("slot").alias("first"))
+    return n.join(first, group, "left").select(group, "n_slots", F.coalesce("first", "n_slots").alias("n_real"))
 
 
 def replay(manifest: DataFrame, order: str = "edit_no") -> DataFrame:

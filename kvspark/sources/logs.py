@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -28,57 +29,58 @@ def _opened(options: dict) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-class Groups(InputPartition):
-    """Some groups, each with its files in order: (number, records)."""
+class Files(InputPartition):
+    """Some files: (group, number, records, slot of the first)."""
 
-    def __init__(self, groups: list[tuple[int, list[tuple[int, int]]]]):
-        super().__init__(groups)
-        self.groups = groups
+    def __init__(self, files: list[tuple[int, int, int, int]]):
+        super().__init__(files)
+        self.files = files
+
+
+def _numbers(options: dict) -> dict[tuple[int, str], int]:
+    """The size of each file, by number and kind; none if there is no folder yet."""
+    system, path = _opened(options)
+    found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+    return {(int(m[1]), m[2]): info.size for info in found if (m := re.fullmatch(r"(\d{6,})\.(log|keyLog)", info.base_name))}
 
 
 class LogReader(DataSourceReader):
-    """A task reads whole groups. A record counts if its value lies whole in its file and its key is there."""
+    """A task reads one file, or a share of all if a number of tasks is named. A record counts if its value lies whole in its
+    file and its key is there; slots run on from file to file of a group."""
 
     def __init__(self, options: dict):
         self.options = options
         self.width = int(options.get("valuebytes", VALUE_BYTES))
         self.values = options.get("values", "true").lower() == "true"
-        self.tasks = int(options.get("tasks", 64))
+        self.keys = options.get("keys", "true").lower() == "true"
+        self.tasks = int(options.get("tasks", 0))
         self.groups = {int(x) for x in options["groups"].split(",")} if options.get("groups") else None
 
-    def partitions(self) -> list[Groups]:
-        system, path = _opened(self.options)
-        sizes: dict[tuple[int, str], int] = {}
-        for info in system.get_file_info(fs.FileSelector(path)):
-            if m := re.fullmatch(r"(\d{6,})\.(log|keyLog)", info.base_name):
-                sizes[int(m[1]), m[2]] = info.size
-        found: dict[int, list[tuple[int, int]]] = {}
+    def partitions(self) -> list[Files]:
+        sizes = _numbers(self.options)
+        files, slots = [], {}
         for (number, kind), size in sorted(sizes.items()):
-            if kind == "log" and (self.groups is None or number % GROUPS in self.groups):
-                n = min(size // self.width, sizes.get((number, "keyLog"), 0) // KEY_BYTES)
-                found.setdefault(number % GROUPS, []).append((number, n))
-        every = sorted(found.items())
-        n = max(1, min(self.tasks, len(every)))
-        return [Groups(every[i::n]) for i in range(n)]
-
-    def read(self, partition: Groups) -> Iterator[pa.RecordBatch]:
-        for group, files in partition.groups:
-            yield from self._group(group, files)
-
-    def _group(self, group: int, files: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+            group = number % GROUPS
+            if kind == "log" and (self.groups is None or group in self.groups):
+                n = min(size // self.width, sizes.get((number, "keyLog"), 0) // KEY_BYTES if self.keys else size)
+                files.append((group, number, n, slots.get(group, 0)))
+                slots[group] = slots.get(group, 0) + n
+        n = min(self.tasks or len(files), len(files))
+        return [Files(files[i::n]) for i in range(n)] or [Files([])]
+
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         system, path = _opened(self.options)
-        slot = 0
-        for number, n in files:
-            with system.open_input_file(f"{path}/{number:06d}.keyLog") as keys, system.open_input_file(f"{path}/{number:06d}.log") as values:
+        cut = lambda b, w, k: [b[i * w : (i + 1) * w] for i in range(k)]
+        for group, number, n, slot in partition.files:
+            with ExitStack() as held:
+                keys = held.enter_context(system.open_input_file(f"{path}/{number:06d}.keyLog")) if self.keys else None
+                values = held.enter_context(system.open_input_file(f"{path}/{number:06d}.log")) if self.values else None
                 for at in range(0, n, BATCH):
                     k = min(BATCH, n - at)
-                    own = keys.read_at(k * KEY_BYTES, at * KEY_BYTES)
-                    data = values.read_at(k * self.width, at * self.width) if self.values else b""
-                    cut = lambda b, w: [b[i * w : (i + 1) * w] for i in range(k)]
+                    own = cut(keys.read_at(k * KEY_BYTES, at * KEY_BYTES), KEY_BYTES, k) if keys else [None] * k
+                    data = cut(values.read_at(k * self.width, at * self.width), self.width, k) if values else [None] * k
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([group] * k, pa.int32()), pa.array(range(slot, slot + k), pa.int64()), pa.array(cut(own, KEY_BYTES), pa.binary()),
-                        pa.array(cut(data, self.width) if self.values else [None] * k, pa.binary())], ["grp", "slot", "key", "value"])
-                    slot += k
+                        pa.array([group] * k, pa.int32()), pa.array(range(slot + at, slot + at + k), pa.int64()), pa.array(own, pa.binary()), pa.array(data, pa.binary())], ["grp", "slot", "key", "value"])
 
 
 @dataclass
@@ -88,10 +90,15 @@ class Written(WriterCommitMessage):
 
 class LogWriter(DataSourceWriter):
     """Rows of a group have to come to one task, in order of slot: ``repartition("grp").sortWithinPartitions("grp", "slot")``.
-    Files get their names when the job commits; a lost task leaves only temporary ones."""
-
-    def __init__(self, options: dict):
-        self.options = options
+    Files get their names when the job commits; a lost task leaves only temporary ones. What is appended to a group goes to
+    new files behind its last, so its slots run on; two appends at once to one group are refused when they commit."""
+
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.options, self.overwrite = options, overwrite
+        self.keys = options.get("keys", "true").lower() == "true"
+        self.rounds: dict[int, int] = {}
+        for number, _ in () if overwrite else _numbers(options):
+            self.rounds[number % GROUPS] = max(self.rounds.get(number % GROUPS, 0), number // GROUPS + 1)
         self.width = int(options.get("valuebytes", VALUE_BYTES))
         self.slice = int(options.get("slice", SLICE))
 
@@ -105,34 +112,44 @@ class LogWriter(DataSourceWriter):
         group, n, keys, values = None, 0, None, None
 
         def turn(number: int):
-            pair = []
-            for kind in ("keyLog", "log"):
+            pair = [] if self.keys else [None]
+            for kind in ("keyLog", "log") if self.keys else ("log",):
                 name = f"{path}/{number:06d}.{kind}"
                 moves.append((f"{name}.{task}.tmp", name))
                 pair.append(system.open_output_stream(moves[-1][0]))
             return pair
 
+        def close() -> None:
+            for file in (keys, values):
+                if file:
+                    file.close()
+
         for row in iterator:
-            if len(row.key) != KEY_BYTES or len(row.value) != self.width:
+            if self.keys and len(row.key) != KEY_BYTES or len(row.value) != self.width:
                 raise ValueError(f"INVALID_ARGUMENT: keys have {KEY_BYTES} bytes and values {self.width}")
             if row.grp != group or n % self.slice == 0:
-                if keys:
-                    keys.close(), values.close()
+                close()
                 if row.grp != group:
                     group, n = row.grp, 0
-                keys, values = turn(group + GROUPS * (n // self.slice))
-            keys.write(bytes(row.key))
+                keys, values = turn(group + GROUPS * (self.rounds.get(group, 0) + n // self.slice))
+            if keys:
+                keys.write(bytes(row.key))
             values.write(bytes(row.value))
             n += 1
-        if keys:
-            keys.close(), values.close()
+        close()
         return Written(moves)
 
     def commit(self, messages: list[Written | None]) -> None:
-        system, _ = _opened(self.options)
-        for message in messages:
-            for temporary, name in message.files if message else ():
-                system.move(temporary, name)
+        system, path = _opened(self.options)
+        files = [x for message in messages if message for x in message.files]
+        if self.overwrite:
+            for number, kind in _numbers(self.options):
+                system.delete_file(f"{path}/{number:06d}.{kind}")
+        elif any(x.type != fs.FileType.NotFound for x in system.get_file_info([name for _, name in files])):
+            self.abort(messages)
+            raise ValueError("another append to the same groups was faster")
+        for temporary, name in files:
+            system.move(temporary, name)
 
     def abort(self, messages: list[Written | None]) -> None:
         system, _ = _opened(self.options)
@@ -142,7 +159,8 @@ class LogWriter(DataSourceWriter):
 
 
 class KVLog(DataSource):
-    """Options: path (a folder that all executors see, or a URI), valuebytes, slice, values (false: keys alone), groups, tasks."""
+    """Options: path (a folder that all executors see, or a URI), valuebytes, slice, values (false: keys alone), keys (false: values alone),
+    groups, tasks."""
 
     @classmethod
     def name(cls) -> str:
@@ -155,7 +173,7 @@ class KVLog(DataSource):
         return LogReader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> LogWriter:
-        return LogWriter(dict(self.options))
+        return LogWriter(dict(self.options), overwrite)
 
 
 def register(spark) -> None:

@@ -87,6 +87,37 @@ def test_raw_logs_round_trip_and_torn_tail(spark, tmp_path):
     assert {r.grp for r in only} == {3} and all(r.value is None for r in only)
 
 
+def test_appends_go_on_behind_what_is_there(spark, tmp_path):
+    logs.register(spark)
+    path = str(tmp_path / "logs")
+    write = lambda rows, mode="append": spark.createDataFrame(rows, logs.SCHEMA).coalesce(1).sortWithinPartitions("grp", "slot").write.format("kvlog").mode(mode).option("valueBytes", "1").option("slice", "4").save(path)
+    rows = [(1, s, key(s), bytes([s])) for s in range(13)] + [(2, 0, key(99), b"z")]
+    write(rows[:10])
+    write(rows[10:])
+    read = spark.read.format("kvlog").option("valueBytes", "1").load(path)
+    assert sorted(map(tuple, read.collect())) == sorted(rows) and read.rdd.getNumPartitions() == 5
+    late = logs.LogWriter({"path": path, "valuebytes": "1"})
+    late.rounds = {}
+    (tmp_path / "logs" / "000001.log.7.tmp").write_bytes(b"x")
+    with pytest.raises(ValueError):
+        late.commit([logs.Written([(f"{path}/000001.log.7.tmp", f"{path}/000001.log")])])
+    assert read.count() == 14 and not [x for x in os.listdir(path) if x.endswith("tmp")]
+    write(rows[:2], "overwrite")
+    assert sorted(map(tuple, spark.read.format("kvlog").option("valueBytes", "1").load(path).collect())) == rows[:2]
+
+
+def test_windowed_counts(spark, tmp_path):
+    import datetime as dt
+
+    landed, at = str(tmp_path / "in"), dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(at + dt.timedelta(seconds=s), k) for s, k in ((0, "a"), (30, "a"), (59, "b"), (60, "a"), (7200, "b"))], "ts timestamp, event_type string").coalesce(1).write.parquet(landed)
+    stream = spark.readStream.schema("ts timestamp, event_type string").parquet(landed)
+    made = ingest.windowed_counts(stream)
+    query = made.writeStream.outputMode("update").format("memory").queryName("counts_out").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sum(r["n"] for r in spark.table("counts_out").collect()) == 5
+
+
 def test_running_latest(spark, tmp_path):
     landed = str(tmp_path / "in")
     spark.createDataFrame([(1, 1.0, 1), (1, 2.0, 3), (2, 5.0, 2)], "key_long long, value double, seq long").coalesce(1).write.parquet(landed)
