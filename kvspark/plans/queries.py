@@ -411,7 +411,10 @@ def kv_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(after, "seq").select(F.col("key_long").alias("key"), codec.hex_lower(hashing.shortest_separator(F.col("key"), F.col("next"))).alias("separator"), codec.hex_lower(hashing.short_successor(F.col("key"))).alias("successor"))
 
 
-@query(None)
+@query("""WITH c AS (SELECT k, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(64), lambda i: (k >> CAST(56 - 8 * (i // 8) + i % 8 AS INTEGER)) & 1)),
+        lambda c, b: xor(c >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 2197175160 ELSE 0 END)) AS r FROM {H}),
+    v AS (SELECT k, xor(r, 4294967295) AS crc FROM c)
+    SELECT k AS key, crc, (((crc >> 15) | ((crc << 17) & 4294967295)) + 2726488792) % 4294967296 AS masked FROM v""")
 def kv_crc32c(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = long_to_key(F.col("key_long"))
     return kv_hashed(spark, sf_dir).select(F.col("key_long").alias("key"), hashing.crc32c(key).alias("crc"), hashing.crc32c_masked(key).alias("masked"))
@@ -813,7 +816,10 @@ def kv_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(after, "seq").select(F.col("key_long").alias("key"), codec.hex_lower(hashing.shortest_separator(F.col("key"), F.col("next"))).alias("separator"), codec.hex_lower(hashing.short_successor(F.col("key"))).alias("successor"))
 
 
-@query(None)
+@query("""WITH c AS (SELECT k, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(64), lambda i: (k >> CAST(56 - 8 * (i // 8) + i % 8 AS INTEGER)) & 1)),
+        lambda c, b: xor(c >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 2197175160 ELSE 0 END)) AS r FROM {H}),
+    v AS (SELECT k, xor(r, 4294967295) AS crc FROM c)
+    SELECT k AS key, crc, (((crc >> 15) | ((crc << 17) & 4294967295)) + 2726488792) % 4294967296 AS masked FROM v""")
 def kv_crc32c(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = long_to_key(F.col("key_long"))
     return kv_hashed(spark, sf_dir).select(F.col("key_long").alias("key"), hashing.crc32c(key).alias("crc"), hashing.crc32c_masked(key).alias("masked"))
