@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codec import all_zero, file_kind, file_number
-from ..schema import VALUE_BYTES
+from ..functions.codec import all_zero, be_to_int, file_kind, file_number, int_to_be
+from ..schema import VALUE_BYTES, key_to_long, long_to_key
 
 
 def valid_prefix(df: DataFrame, sizes: DataFrame, group: str = "grp", record: int = VALUE_BYTES) -> DataFrame:
@@ -25,6 +25,20 @@ def trim_zero_tail(df: DataFrame, page: int, group: str = "grp", value: str = "v
     return n.join(first, group, "left").select(group, "n_slots", F.coalesce("first", "n_slots").alias("n_real"))
 
 
+def edit_records(edits: DataFrame, order: str = "edit_no") -> DataFrame:
+    """Manifest edits in stored form, 32 bytes each, with their order: what a manifest table is appended with (OP-27)."""
+    n = lambda c: int_to_be(F.col(c))
+    record = F.concat(n("compacted_log"), n("file_no"), n("file_size"), long_to_key(F.col("smallest")), long_to_key(F.col("largest")), n("next_file"))
+    return edits.select(order, record.alias("record"))
+
+
+def edits(records: DataFrame, order: str = "edit_no") -> DataFrame:
+    """The edits that ``edit_records`` stored."""
+    n = lambda at: be_to_int(F.substring("record", at, 4)).cast("long")
+    k = lambda at: key_to_long(F.substring("record", at, 8))
+    return records.select(order, n(1).alias("compacted_log"), n(5).alias("file_no"), n(9).alias("file_size"), k(13).alias("smallest"), k(21).alias("largest"), n(29).alias("next_file"))
+
+
 def replay(manifest: DataFrame, order: str = "edit_no") -> DataFrame:
     """What a manifest says in the end: the last edit's numbers, and the files of all edits in order. One row."""
     last = lambda c: F.max_by(c, order).alias(c)

@@ -452,6 +452,27 @@ _MANIFEST = """(SELECT seq // 1024 AS edit_no, seq // 1024 AS compacted_log, (se
     FROM {H} WHERE (seq // 1024) % 5 <> 3 GROUP BY seq // 1024)"""
 
 
+@query("SELECT edit_no, compacted_log, file_no, file_size, smallest, largest, next_file FROM " + _MANIFEST)
+def kv_manifest_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits appended to a manifest in stored form, twice, and read back (OP-27)."""
+    path, records = _folder(spark, "manifest"), recovery.edit_records(_manifest(spark, sf_dir))
+    for half in (F.col("edit_no") % 2 == 0, F.col("edit_no") % 2 == 1):
+        records.where(half).write.mode("append").parquet(path)
+    return recovery.edits(spark.read.parquet(path))
+
+
+@query("SELECT k AS key, CAST((k >> 54) & 1023 AS INTEGER) AS grp, row_number() OVER (PARTITION BY (k >> 54) & 1023 ORDER BY k) AS place FROM {H}")
+def kv_sorted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each group's keys sorted into a file, and read back as they lie there (OP-28)."""
+    logs.register(spark)
+    path = _folder(spark, "sorted")
+    place = F.row_number().over(Window.partitionBy("grp").orderBy("key_long")) - 1
+    rows = layout.routed(kv_hashed(spark, sf_dir)).select("grp", place.cast("long").alias("slot"), long_to_key(F.col("key_long")).alias("key"), long_to_key(F.col("seq")).alias("value"))
+    rows.repartition("grp").sortWithinPartitions("grp", "slot").write.format("kvlog").mode("append").option("valueBytes", "8").save(path)
+    read = spark.read.format("kvlog").options(valueBytes="8", tasks="16", values="false").load(path)
+    return read.select(key_to_long(F.col("key")).alias("key"), "grp", (F.col("slot") + 1).alias("place"))
+
+
 @query(f"""SELECT arg_max(compacted_log, edit_no) AS compacted_log, arg_max(next_file, edit_no) AS next_file, count(*) AS n_files, CAST(sum(file_size) AS BIGINT) AS total_size, min(smallest) AS smallest, max(largest) AS largest FROM {_MANIFEST}""")
 def kv_manifest_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recovery.replay(_manifest(spark, sf_dir))
