@@ -37,6 +37,9 @@ def query(sql: str | None):
     """Register a query; its SQL may use {H}, the hashed-key relation."""
 
     def add(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"{f.__name__} is registered already")
+
         @functools.wraps(f)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship(spark)
@@ -561,380 +564,6 @@ def kv_store_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(key_to_long(F.col("key")).alias("key"), F.decode("value", "UTF-8").cast("double").alias("value"))
 
 
-@query("SELECT user_id AS key, arg_max(value, event_id) AS value, max(event_id) AS seq FROM events GROUP BY user_id")
-def kv_latest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest.latest(kv_events(spark, sf_dir), ["key_long"]).select(F.col("key_long").alias("key"), "value", "seq")
-
-
-@query("SELECT DISTINCT user_id AS key FROM events")
-def kv_distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest.distinct_keys(kv_events(spark, sf_dir), ["key_long"]).select(F.col("key_long").alias("key"))
-
-
-@query("""SELECT e.user_id AS key, l.value, l.seq FROM events e
-    JOIN (SELECT user_id, arg_max(value, event_id) AS value, max(event_id) AS seq FROM events GROUP BY user_id) l ON e.user_id = l.user_id""")
-def kv_raw_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest.raw_visits(kv_events(spark, sf_dir), ["key_long"]).select(F.col("key_long").alias("key"), "value", "seq")
-
-
-@query("SELECT o_orderkey // 1024 AS generation, count(*) AS n, min(o_orderkey) AS first_seq, max(o_orderkey) AS last_seq FROM orders GROUP BY 1")
-def kv_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kv_orders(spark, sf_dir).groupBy(latest.generation(size=GENERATION).alias("generation")).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
-
-
-@query("SELECT event_id // 1024 AS generation, user_id AS key, arg_max(value, event_id) AS value, max(event_id) AS seq FROM events GROUP BY 1, 2")
-def kv_minor_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest.compacted(kv_events(spark, sf_dir), ["key_long"], size=GENERATION).select("generation", F.col("key_long").alias("key"), "value", "seq")
-
-
-@query("""WITH t AS (SELECT event_id, user_id, value, CASE WHEN event_id >= 2048 THEN 0 WHEN event_id >= 1024 THEN 1 ELSE 2 END AS tier FROM events),
-    l AS (SELECT tier, user_id, arg_max(value, event_id) AS value FROM t GROUP BY tier, user_id)
-    SELECT user_id AS key, arg_min(value, tier) AS value, min(tier) AS tier FROM l GROUP BY user_id""")
-def kv_tiered_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = kv_events(spark, sf_dir)
-    cut = [records.where("seq >= 2048"), records.where("seq >= 1024 and seq < 2048"), records.where("seq < 1024")]
-    return latest.tiered([latest.latest(t, ["key_long"]).drop("seq") for t in cut], ["key_long"]).select(F.col("key_long").alias("key"), "value", "tier")
-
-
-@query("SELECT user_id AS key, arg_max(value, event_id) AS value FROM events WHERE event_id >= 512 GROUP BY user_id")
-def kv_log_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The memtable that replaying a log from a position gives (OP-19, OP-102)."""
-    return latest.latest(kv_events(spark, sf_dir).where("seq >= 512"), ["key_long"]).select(F.col("key_long").alias("key"), "value")
-
-
-# Groups, orders, slots, files, windows
-
-
-@query("SELECT k AS key, CAST((k >> 54) & 1023 AS INTEGER) AS grp FROM {H}")
-def kv_group_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.routed(kv_hashed(spark, sf_dir)).select(F.col("key_long").alias("key"), "grp")
-
-
-@query("SELECT coalesce(CAST((k >> 54) & 1023 AS INTEGER), -1) AS grp, count(*) AS n, min(k) AS min_key, max(k) AS max_key FROM {H} GROUP BY ROLLUP (CAST((k >> 54) & 1023 AS INTEGER))")
-def kv_group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every group, and all of them as group -1."""
-    return layout.group_stats(kv_hashed(spark, sf_dir)).withColumn("grp", F.coalesce("grp", F.lit(-1)))
-
-
-@query("SELECT max((k >> 54) & 1023) = 1023 AS well_distributed, count(DISTINCT (k >> 54) & 1023) AS n_groups FROM {H}")
-def kv_distribution_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.well_distributed(kv_hashed(spark, sf_dir))
-
-
-@query("SELECT k AS key, row_number() OVER (ORDER BY k) AS pos FROM {H}")
-def kv_order_signed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordering.ranked_by_group(kv_hashed(spark, sf_dir), "signed").select(F.col("key_long").alias("key"), "pos")
-
-
-@query("SELECT k AS key, row_number() OVER (ORDER BY k < 0, k) AS pos FROM {H}")
-def kv_order_unsigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordering.ranked_by_group(kv_hashed(spark, sf_dir), "unsigned").select(F.col("key_long").alias("key"), "pos")
-
-
-@query("SELECT k AS key, row_number() OVER (ORDER BY k >= 0, CASE WHEN ((k >> 54) & 1023) >= 512 THEN -((k >> 54) & 1023) ELSE (k >> 54) & 1023 END, k) AS pos FROM {H}")
-def kv_order_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordering.ranked_by_group(kv_hashed(spark, sf_dir), "live").select(F.col("key_long").alias("key"), "pos")
-
-
-@query("""SELECT k AS key, row_number() OVER (PARTITION BY (k >> 54) & 1023 ORDER BY k) AS place FROM {H}""")
-def kv_group_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each group sorted by itself (OP-73)."""
-    place = F.row_number().over(Window.partitionBy("grp").orderBy("key_long"))
-    return layout.routed(kv_hashed(spark, sf_dir)).select(F.col("key_long").alias("key"), place.cast("long").alias("place"))
-
-
-@query("""SELECT k AS key, CAST(g AS INTEGER) AS grp, slot, slot * 4096 AS value_offset, slot * 4096 + 1 AS live_address, (g << 48) | 263882790666240 | (slot * 4096) AS address
-    FROM (SELECT k, (k >> 54) & 1023 AS g, row_number() OVER (PARTITION BY (k >> 54) & 1023 ORDER BY seq) - 1 AS slot FROM {H})""")
-def kv_slot_address(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = layout.addressed(layout.slotted(layout.routed(kv_hashed(spark, sf_dir))))
-    return rows.select(F.col("key_long").alias("key"), "grp", "slot", "value_offset", "live_address", "address")
-
-
-@query("""SELECT grp, slot // 4 AS "window", count(*) AS n, min(seq) AS first_seq FROM
-    (SELECT seq, CAST((k >> 54) & 1023 AS INTEGER) AS grp, row_number() OVER (PARTITION BY (k >> 54) & 1023 ORDER BY seq) - 1 AS slot FROM {H}) GROUP BY 1, 2""")
-def kv_scan_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = layout.windowed(layout.slotted(layout.routed(kv_hashed(spark, sf_dir))), WINDOW)
-    return rows.groupBy("grp", "window").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
-
-
-@query("SELECT CAST(o_orderkey % 64 AS INTEGER) AS log_no, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1")
-def kv_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.round_robin(kv_orders(spark, sf_dir)).groupBy("log_no").agg(F.count("*").alias("n"), F.sum("key_long").alias("keys"))
-
-
-@query("""SELECT k AS key, g + (slot // 8) * 1024 AS file_no, slot % 8 AS file_slot FROM
-    (SELECT k, (k >> 54) & 1023 AS g, row_number() OVER (PARTITION BY (k >> 54) & 1023 ORDER BY seq) - 1 AS slot FROM {H})""")
-def kv_file_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = layout.sliced(layout.slotted(layout.routed(kv_hashed(spark, sf_dir))), SLICE)
-    return rows.select(F.col("key_long").alias("key"), "file_no", "file_slot")
-
-
-@query("SELECT count(*) FILTER (k > 0) AS n_positive, count(*) FILTER (k < 0) AS n_negative, count(*) FILTER (k = 0) AS n_zero FROM {H}")
-def kv_sign_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.sign_counts(kv_hashed(spark, sf_dir))
-
-
-@query("SELECT seq // 1024 AS generation, min(k) AS smallest, max(k) AS largest, count(*) AS n, count(*) * 16 AS file_size FROM {H} GROUP BY 1")
-def kv_zone_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.zone_map(kv_hashed(spark, sf_dir).withColumn("generation", latest.generation(size=GENERATION)), ["generation"])
-
-
-@query("""WITH z AS (SELECT o_orderkey // 1024 AS generation, min(o_orderkey) AS smallest, max(o_orderkey) AS largest FROM orders GROUP BY 1)
-    SELECT key, generation FROM (SELECT DISTINCT o_orderkey * 3 AS key FROM orders) JOIN z ON key BETWEEN smallest AND largest""")
-def kv_zone_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = kv_orders(spark, sf_dir)
-    zones = layout.zone_map(records.withColumn("generation", latest.generation(size=GENERATION)), ["generation"])
-    return layout.zone_candidates(zones, records.select((F.col("key_long") * 3).alias("key_long"))).select(F.col("key_long").alias("key"), "generation")
-
-
-# Bloom filters and hash tables
-
-_POSITIONS = f"CAST('0x' || substr(md5(unhex(lpad(to_hex(k), 16, '0')) || unhex(lpad(to_hex(i), 2, '0') || '000000')), 1, 8) AS BIGINT) % {BITS}"
-
-
-@query(f"SELECT DISTINCT seq // 1024 AS block, {_POSITIONS} AS bit FROM {{H}}, range(7) r(i)")
-def kv_bloom_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bloom.build(kv_hashed(spark, sf_dir).withColumn("block", latest.generation(size=BLOCK)), ["block"], BITS)
-
-
-@query(f"""WITH b AS (SELECT DISTINCT seq // 1024 AS block, {_POSITIONS} AS bit FROM {{H}}, range(7) r(i)),
-    p AS (SELECT DISTINCT k, {_POSITIONS} AS bit FROM (SELECT k + 1 AS k FROM {{H}} WHERE k < 9223372036854775807 UNION ALL SELECT k FROM {{H}}), range(7) r(i)),
-    n AS (SELECT k, count(*) AS need FROM p GROUP BY k)
-    SELECT p.k AS key, b.block FROM p JOIN b ON p.bit = b.bit JOIN n ON n.k = p.k GROUP BY p.k, b.block, n.need HAVING count(*) = n.need""")
-def kv_bloom_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stored key and every key + 1 against every filter."""
-    records = kv_hashed(spark, sf_dir)
-    filters = bloom.build(records.withColumn("block", latest.generation(size=BLOCK)), ["block"], BITS)
-    others = records.where("key_long < 9223372036854775807").select((F.col("key_long") + 1).alias("key_long"))
-    return bloom.probe(filters, others.unionByName(records.select("key_long")), ["block"], BITS).select(F.col("key_long").alias("key"), "block")
-
-
-@query(f"SELECT DISTINCT seq // 1024 AS block, {_POSITIONS.replace(str(BITS), str(BITS_3))} AS bit FROM {{H}}, range(6) r(i)")
-def kv_bloom_three_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 3 % filter in its own size (OP-48)."""
-    return bloom.build(kv_hashed(spark, sf_dir).withColumn("block", latest.generation(size=BLOCK)), ["block"], BITS_3, bloom.THREE_PERCENT[0])
-
-
-@query(f"SELECT block, bit // 64 AS word, bit_or(CASE WHEN bit % 64 = 63 THEN CAST(-9223372036854775807 AS BIGINT) - 1 ELSE CAST(1 AS BIGINT) << (bit % 64) END) AS bits FROM (SELECT DISTINCT seq // 1024 AS block, {_POSITIONS} AS bit FROM {{H}}, range(6) r(i)) GROUP BY 1, 2")
-def kv_bloom_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The six-hash variant (OP-48) in stored form."""
-    filters = bloom.build(kv_hashed(spark, sf_dir).withColumn("block", latest.generation(size=BLOCK)), ["block"], BITS, bloom.THREE_PERCENT[0])
-    return bloom.as_words(filters, ["block"])
-
-
-_SLOT = "xor(b, b >> 16) & {m}"
-_FOLDED = "(SELECT k, xor((k >> 32) & 4294967295, k & 4294967295) AS b FROM {H})"
-
-
-@query(f"SELECT k AS key, {_SLOT.format(m=(1 << 26) - 1)} AS hash_slot, CAST(least(({_SLOT.format(m=(1 << 26) - 1)}) // 262144, 255) AS INTEGER) AS segment FROM {_FOLDED}")
-def kv_hash_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.hash_slots(kv_hashed(spark, sf_dir)).select(F.col("key_long").alias("key"), "hash_slot", "segment")
-
-
-@query(f"SELECT n AS keys_in_slot, count(*) AS n_slots FROM (SELECT {_SLOT.format(m=SLOTS - 1)} AS s, count(*) AS n FROM {_FOLDED} GROUP BY 1) GROUP BY n")
-def kv_hash_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.collisions(kv_hashed(spark, sf_dir), slots=SLOTS)
-
-
-# Scalar functions
-
-
-@query("SELECT k AS key, {HEX} AS be_hex, k AS back FROM {H}")
-def kv_key_codec_be(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = long_to_key(F.col("key_long"))
-    return kv_hashed(spark, sf_dir).select(F.col("key_long").alias("key"), codec.hex_lower(key).alias("be_hex"), key_to_long(key).alias("back"))
-
-
-@query("""SELECT k AS key, substr(h, 15, 2) || substr(h, 13, 2) || substr(h, 11, 2) || substr(h, 9, 2) || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS le_hex, k AS back
-    FROM (SELECT k, {HEX} AS h FROM {H})""")
-def kv_key_codec_le(spark: SparkSession, sf_dir: str) -> DataFrame:
-    le = codec.long_to_le(F.col("key_long"))
-    return kv_hashed(spark, sf_dir).select(F.col("key_long").alias("key"), codec.hex_lower(le).alias("le_hex"), codec.le_to_long(le).alias("back"))
-
-
-@query("""SELECT o_orderkey AS key, lpad(lower(to_hex(o_orderkey)), 8, '0') AS be_hex, substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS le_hex,
-    h || lpad(lower(to_hex(o_custkey)), 8, '0') AS both_hex, CAST(o_orderkey AS INTEGER) AS back FROM (SELECT *, lpad(lower(to_hex(o_orderkey)), 8, '0') AS h FROM orders)""")
-def kv_int_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return rows.select(k.alias("key"), codec.hex_lower(codec.int_to_be(k)).alias("be_hex"), codec.hex_lower(codec.int_to_le(k)).alias("le_hex"),
-                       codec.hex_lower(codec.ints_to_be(F.array(k, c))).alias("both_hex"), codec.be_to_int(codec.int_to_be(k)).alias("back"))
-
-
-@query("SELECT k AS key, {HEX} AS hex, {HEX} || '00ff' AS joined_hex, substr({HEX}, 5, 6) AS part_hex FROM {H}")
-def kv_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hex, concatenation and sub-arrays (OP-52, OP-61, OP-67)."""
-    key = long_to_key(F.col("key_long"))
-    return kv_hashed(spark, sf_dir).select(F.col("key_long").alias("key"), codec.hex_lower(key).alias("hex"),
-                                           codec.hex_lower(F.concat(key, F.lit(b"\x00\xff"))).alias("joined_hex"), codec.hex_lower(F.substring(key, 3, 3)).alias("part_hex"))
-
-
-@query("""SELECT seq AS key, (seq << 32) | (seq % 97) AS packed, ((seq % 1024) << 48) | 263882790666240 | (seq * 4096) AS address, seq % 1024 AS file_no, seq * 4096 AS value_offset FROM {H}""")
-def kv_pack_addr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seq = F.col("seq")
-    address = codec.pack_address(seq % 1024, codec.value_offset(seq))
-    return kv_hashed(spark, sf_dir).select(seq.alias("key"), codec.pack_ints(seq, seq % 97).alias("packed"), address.alias("address"),
-                                           codec.address_file(address).alias("file_no"), codec.address_offset(address).alias("value_offset"))
-
-
-@query("""WITH v AS (SELECT seq AS key, seq * seq * 37 AS n FROM {H})
-    SELECT key, CASE WHEN n < 128 THEN 1 WHEN n < 16384 THEN 2 WHEN n < 2097152 THEN 3 WHEN n < 268435456 THEN 4 WHEN n < 34359738368 THEN 5 WHEN n < 4398046511104 THEN 6 ELSE 7 END AS size,
-    array_to_string(list_transform(list_filter(range(7), lambda i: i = 0 OR (n >> CAST(7 * i AS INTEGER)) > 0), lambda i: lpad(lower(to_hex(((n >> CAST(7 * i AS INTEGER)) & 127) | (CASE WHEN (n >> CAST(7 * i + 7 AS INTEGER)) > 0 THEN 128 ELSE 0 END))), 2, '0')), '') AS varint_hex, n AS back FROM v""")
-def kv_varint_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("n")
-    rows = kv_hashed(spark, sf_dir).select(F.col("seq").alias("key"), (F.col("seq") * F.col("seq") * 37).alias("n"))
-    return rows.select("key", codec.varint_size(n).alias("size"), codec.hex_lower(codec.varint(n)).alias("varint_hex"), codec.varint_value(codec.varint(n)).alias("back"))
-
-
-@query("""SELECT k AS key, array_to_string(list_transform(range(64), lambda i: CAST((k >> CAST(63 - i AS INTEGER)) & 1 AS VARCHAR)), '') AS bits,
-    len(list_filter(range(64), lambda i: (k >> CAST(63 - i AS INTEGER)) & 1 = 1)) AS n_set, {HEX} AS back_hex FROM {H}""")
-def kv_bitset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bits = codec.bit_string(F.col("key_long"))
-    return kv_hashed(spark, sf_dir).select(F.col("key_long").alias("key"), bits.alias("bits"), F.size(codec.set_bits(bits)).cast("long").alias("n_set"), codec.hex_lower(codec.bits_to_bytes(bits)).alias("back_hex"))
-
-
-@query("""SELECT a.k AS key, CASE WHEN a.h < b.h THEN -1 WHEN a.h > b.h THEN 1 ELSE 0 END AS compared FROM
-    (SELECT seq, k, {HEX} AS h FROM {H}) a JOIN (SELECT seq, {HEX} AS h FROM {H}) b ON b.seq = a.seq + 1""")
-def kv_compare_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = kv_hashed(spark, sf_dir).select("seq", "key_long", long_to_key(F.col("key_long")).alias("key"))
-    after = rows.select((F.col("seq") - 1).alias("seq"), F.col("key").alias("next"))
-    return rows.join(after, "seq").select(F.col("key_long").alias("key"), codec.compare_bytes(F.col("key"), F.col("next")).alias("compared"))
-
-
-@query("SELECT o_orderkey AS key, o_orderkey % 3 = 0 AS zero, o_orderkey - o_orderkey % 512 AS start, o_orderkey + 511 - (o_orderkey + 511) % 512 AS stop, 1536 AS lcm FROM orders")
-def kv_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All-zero test and block alignment (OP-65, OP-71)."""
-    k = F.col("key_long")
-    value = F.when(k % 3 == 0, F.lit(bytes(8))).otherwise(long_to_key(k + 1))
-    return kv_orders(spark, sf_dir).select(k.alias("key"), codec.all_zero(value).alias("zero"), codec.block_start(k, 512).alias("start"), codec.block_end(k, 512).alias("stop"), F.lit(codec.lcm(512, 768)).alias("lcm"))
-
-
-@query("""WITH b AS (SELECT k, {HEX} AS h FROM {H}),
-    r AS (SELECT k, list_reduce(list_prepend(CAST(8 AS BIGINT), list_transform(range(8), lambda i: CAST(CAST('0x' || substr(h, CAST(2 * i + 1 AS INTEGER), 2) AS INTEGER) AS BIGINT))),
-                   lambda a, x: (a * 31 + x - CASE WHEN x > 127 THEN 256 ELSE 0 END) & 4294967295) AS v FROM b)
-    SELECT k AS key, CAST(CASE WHEN v = 0 THEN 1 WHEN v > 2147483647 THEN v - 4294967296 ELSE v END AS INTEGER) AS hash FROM r""")
-def kv_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kv_hashed(spark, sf_dir).select(F.col("key_long").alias("key"), codec.content_hash(long_to_key(F.col("key_long"))).alias("hash"))
-
-
-@query("SELECT doc_id AS key, octet_length(encode(coalesce(text, ''))) AS n_bytes, length(coalesce(text, '')) AS n_chars, coalesce(text, '') = decode(encode(coalesce(text, ''))) AS same FROM documents")
-def kv_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text to bytes and back, over large values (OP-69)."""
-    text = F.coalesce("value", F.lit(""))
-    data = F.encode(text, "UTF-8")
-    return kv_documents(spark, sf_dir).select(F.col("key_long").alias("key"), F.length(data).cast("long").alias("n_bytes"), F.length(text).cast("long").alias("n_chars"), (F.decode(data, "UTF-8") == text).alias("same"))
-
-
-@query("""WITH a AS (SELECT seq, k, {HEX} AS h FROM {H}), p AS (SELECT a.k, a.h, b.h AS limit_ FROM a JOIN a b ON b.seq = a.seq + 1),
-    q AS (SELECT *, list_min(list_filter(range(8), lambda i: substr(h, CAST(2 * i + 1 AS INTEGER), 2) <> substr(limit_, CAST(2 * i + 1 AS INTEGER), 2))) AS d,
-                 list_min(list_filter(range(8), lambda i: substr(h, CAST(2 * i + 1 AS INTEGER), 2) <> 'ff')) AS s FROM p),
-    v AS (SELECT *, CAST('0x' || substr(h, CAST(2 * d + 1 AS INTEGER), 2) AS INTEGER) AS x, CAST('0x' || substr(limit_, CAST(2 * d + 1 AS INTEGER), 2) AS INTEGER) AS y, CAST('0x' || substr(h, CAST(2 * s + 1 AS INTEGER), 2) AS INTEGER) AS z FROM q)
-    SELECT k AS key, CASE WHEN x + 1 < y THEN substr(h, 1, CAST(2 * d AS INTEGER)) || lpad(lower(to_hex(x + 1)), 2, '0') ELSE h END AS separator,
-           CASE WHEN s IS NULL THEN h ELSE substr(h, 1, CAST(2 * s AS INTEGER)) || lpad(lower(to_hex(z + 1)), 2, '0') END AS successor FROM v""")
-def kv_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = kv_hashed(spark, sf_dir).select("seq", "key_long", long_to_key(F.col("key_long")).alias("key"))
-    after = rows.select((F.col("seq") - 1).alias("seq"), F.col("key").alias("next"))
-    return rows.join(after, "seq").select(F.col("key_long").alias("key"), codec.hex_lower(hashing.shortest_separator(F.col("key"), F.col("next"))).alias("separator"), codec.hex_lower(hashing.short_successor(F.col("key"))).alias("successor"))
-
-
-@query("""WITH c AS (SELECT k, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(64), lambda i: (k >> CAST(56 - 8 * (i // 8) + i % 8 AS INTEGER)) & 1)),
-        lambda c, b: xor(c >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 2197175160 ELSE 0 END)) AS r FROM {H}),
-    v AS (SELECT k, xor(r, 4294967295) AS crc FROM c)
-    SELECT k AS key, crc, (((crc >> 15) | ((crc << 17) & 4294967295)) + 2726488792) % 4294967296 AS masked FROM v""")
-def kv_crc32c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = long_to_key(F.col("key_long"))
-    return kv_hashed(spark, sf_dir).select(F.col("key_long").alias("key"), hashing.crc32c(key).alias("crc"), hashing.crc32c_masked(key).alias("masked"))
-
-
-# Recovery and manifest
-
-
-@query("""WITH s AS (SELECT k, value, (k >> 54) & 1023 AS grp, row_number() OVER (PARTITION BY (k >> 54) & 1023 ORDER BY seq) - 1 AS slot FROM {H}),
-    z AS (SELECT grp, (count(*) * 4096 - (grp * 1237) % 9000) // 4096 AS n_valid FROM s GROUP BY grp)
-    SELECT k AS key, value, CAST(s.grp AS INTEGER) AS grp, slot FROM s JOIN z ON s.grp = z.grp WHERE slot < n_valid""")
-def kv_recover_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = layout.slotted(layout.routed(kv_hashed(spark, sf_dir)))
-    sizes = rows.groupBy("grp").agg((F.count("*") * 4096).alias("full")).select("grp", (F.col("full") - (F.col("grp") * 1237) % 9000).alias("bytes"))
-    return recovery.valid_prefix(rows, sizes).select(F.col("key_long").alias("key"), "value", "grp", "slot")
-
-
-@query("""WITH s AS (SELECT user_id % 16 AS grp, row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) - 1 AS slot, count(*) OVER (PARTITION BY user_id % 16) AS n_slots FROM events)
-    SELECT grp, n_slots, coalesce(min(slot) FILTER (slot >= n_slots - (grp % 5) AND slot >= n_slots - 16), n_slots) AS n_real FROM s GROUP BY grp, n_slots""")
-def kv_zero_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = layout.slotted(kv_events(spark, sf_dir).withColumn("grp", F.col("key_long") % 16))
-    n = rows.groupBy("grp").agg(F.count("*").alias("n"))
-    zeroed = rows.join(n, "grp").withColumn("value", F.when(F.col("slot") >= F.col("n") - F.col("grp") % 5, F.lit(bytes(16))).otherwise(F.lit(b"value of 16 byte")))
-    return recovery.trim_zero_tail(zeroed, page=16)
-
-
-def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One edit for each generation but every fifth, whose compaction is taken as lost."""
-    zones = layout.zone_map(kv_hashed(spark, sf_dir).withColumn("generation", latest.generation(size=GENERATION)), ["generation"])
-    g = F.col("generation")
-    return zones.where(g % 5 != 3).select(g.alias("edit_no"), g.alias("compacted_log"), (g * 2).alias("file_no"), "file_size", "smallest", "largest", (g * 2 + 1).alias("next_file"))
-
-
-_MANIFEST = """(SELECT seq // 1024 AS edit_no, seq // 1024 AS compacted_log, (seq // 1024) * 2 AS file_no, count(*) * 16 AS file_size, min(k) AS smallest, max(k) AS largest, (seq // 1024) * 2 + 1 AS next_file
-    FROM {H} WHERE (seq // 1024) % 5 <> 3 GROUP BY seq // 1024)"""
-
-
-@query(f"""SELECT arg_max(compacted_log, edit_no) AS compacted_log, arg_max(next_file, edit_no) AS next_file, count(*) AS n_files, CAST(sum(file_size) AS BIGINT) AS total_size, min(smallest) AS smallest, max(largest) AS largest FROM {_MANIFEST}""")
-def kv_manifest_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recovery.replay(_manifest(spark, sf_dir))
-
-
-@query("SELECT DISTINCT seq // 1024 AS log_no FROM {H} WHERE (seq // 1024) % 5 = 3")
-def kv_unrecorded_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = kv_hashed(spark, sf_dir).select(latest.generation(size=GENERATION).alias("log_no")).distinct()
-    return recovery.unrecorded(made, _manifest(spark, sf_dir))
-
-
-@query(f"SELECT g AS file_no FROM (SELECT unnest(range(0, (SELECT max(seq) // 1024 FROM {{H}}) * 2 + 4)) AS g) WHERE g NOT IN (SELECT file_no FROM {_MANIFEST})")
-def kv_orphan_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    last = kv_hashed(spark, sf_dir).agg(F.max(latest.generation(size=GENERATION)).alias("g"))
-    made = last.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") * 2 + 3)).alias("file_no"))
-    return recovery.orphans(made, _manifest(spark, sf_dir))
-
-
-@query("""SELECT n % 64 AS base, array_to_string(list_sort(list(n)), ',') AS files, max(n) AS latest FROM (SELECT o_orderkey AS n FROM orders WHERE o_orderkey % 7 < 5) GROUP BY 1""")
-def kv_file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("key_long")
-    names = kv_orders(spark, sf_dir).select(F.when(n % 7 < 5, codec.file_name(n, "log")).otherwise(codec.file_name(n, "keyLog")).alias("name"))
-    return recovery.inventory(names).select("base", F.concat_ws(",", "files").alias("files"), "latest")
-
-
-@query("""SELECT o_orderkey AS key, printf('%06d.sst', o_orderkey) AS name, o_orderkey AS number, 'sst' AS kind FROM orders""")
-def kv_file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = kv_orders(spark, sf_dir).select(F.col("key_long").alias("key"), codec.file_name(F.col("key_long"), "sst").alias("name"))
-    return rows.select("key", "name", codec.file_number(F.col("name")).alias("number"), codec.file_kind(F.col("name")).alias("kind"))
-
-
-# The physical store, the raw log format and streams
-
-
-@query("SELECT p.key, o.o_totalprice AS value, CASE WHEN o.o_orderkey IS NULL THEN 'NOT_FOUND' ELSE 'SUCC' END AS status FROM (SELECT o_orderkey * 2 AS key FROM orders) p LEFT JOIN orders o ON o.o_orderkey = p.key")
-def kv_store_multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Put all records into a store (OP-03, OP-08) and get them in one batch (OP-44)."""
-    records = kv_orders(spark, sf_dir)
-    store = KVStore.open(spark, _folder(spark, "store"))
-    store.put(records.select(long_to_key(F.col("key_long")).alias("key"), F.encode(F.col("value").cast("string"), "UTF-8").alias("value"), "seq"), bloom=True)
-    found = store.multi_get(records.select(long_to_key(F.col("key_long") * 2).alias("key")))
-    return found.select(key_to_long(F.col("key")).alias("key"), F.decode("value", "UTF-8").cast("double").alias("value"), "status")
-
-
-@query("SELECT k AS key, CAST((k >> 54) & 1023 AS INTEGER) AS grp, row_number() OVER (PARTITION BY (k >> 54) & 1023 ORDER BY seq) - 1 AS slot, seq FROM {H}")
-def kv_raw_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write raw logs and read them back (OP-09, OP-12, OP-19, OP-31). Values are 16 bytes here."""
-    logs.register(spark)
-    path = _folder(spark, "logs")
-    rows = layout.slotted(layout.routed(kv_hashed(spark, sf_dir)))
-    value = F.concat(long_to_key(F.col("seq")), long_to_key(F.col("key_long")))
-    (rows.select("grp", "slot", long_to_key(F.col("key_long")).alias("key"), value.alias("value")).repartition("grp").sortWithinPartitions("grp", "slot")
-     .write.format("kvlog").mode("append").option("valueBytes", "16").option("slice", "8").save(path))
-    read = spark.read.format("kvlog").option("valueBytes", "16").option("tasks", "16").load(path)
-    return read.select(key_to_long(F.col("key")).alias("key"), "grp", "slot", key_to_long(F.substring("value", 1, 8)).alias("seq"))
-
-
 @query("SELECT user_id AS key, arg_max(value, event_id) AS value, max(event_id) AS seq FROM events GROUP BY user_id")
 def kv_stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records landed as files, streamed into a store; its last-write-wins view."""
