@@ -44,6 +44,16 @@ def round_robin(df: DataFrame, writers: int = 64, seq: str = "seq") -> DataFrame
     return df.withColumn("log_no", (F.col(seq) % writers).cast("int"))
 
 
+def writer_affine(df: DataFrame, writers: int = 64) -> DataFrame:
+    """With the log of the task that writes each record (OP-14): all records of a task go to one log, no log is locked."""
+    return df.withColumn("log_no", F.pmod(F.spark_partition_id(), F.lit(writers)))
+
+
+def non_empty(df: DataFrame, key: str = "key_long") -> DataFrame:
+    """The groups that have records (OP-37): ``grp``. Key 0 is a key like any other."""
+    return routed(df, key).select("grp").distinct()
+
+
 def group_stats(df: DataFrame, key: str = "key_long") -> DataFrame:
     """Records and key limits of each group, and of all (``grp`` null): one pass."""
     return routed(df, key).rollup("grp").agg(F.count("*").alias("n"), F.min(key).alias("min_key"), F.max(key).alias("max_key"))

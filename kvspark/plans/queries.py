@@ -30,6 +30,8 @@ ORACLE: dict[str, str] = {}
 HASHED = """(SELECT seq, value, CAST(CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END AS BIGINT) AS k
     FROM (SELECT o_orderkey AS seq, o_totalprice AS value, CAST(CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 16) AS UBIGINT) AS HUGEINT) AS u FROM orders))"""
 GENERATION, BLOCK, WINDOW, SLICE, SLOTS, HALF = 1024, 1024, 4, 8, 1 << 14, 700
+#: Slots of a table whose overflow lists fill, and of one with linear probing.
+LISTS, PROBED = 1 << 6, 1 << 18
 BITS, BITS_3 = bloom.size_in_bits(BLOCK), bloom.size_in_bits(BLOCK, bloom.THREE_PERCENT[1])
 
 
@@ -122,6 +124,15 @@ def kv_positioned_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.positioned_read(addresses, values.select("grp", "slot", "value"), ["grp", "slot"]).select(F.col("key_long").alias("key"), "value")
 
 
+@query("""WITH r AS (SELECT user_id, user_id % 8 AS grp, event_id, value, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) - 1 AS slot FROM events),
+    l AS (SELECT user_id, max(slot) AS slot FROM r GROUP BY user_id) SELECT e.user_id AS key, r.value FROM events e JOIN l USING (user_id) JOIN r ON r.user_id = l.user_id AND r.slot = l.slot""")
+def kv_cached_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest value of its key for every write: few addresses that many ask for (OP-24)."""
+    values = layout.slotted(kv_events(spark, sf_dir).withColumn("grp", F.col("key_long") % 8))
+    asked = kv_events(spark, sf_dir).select("key_long").join(lookup.index(values, ["grp", "key_long"]), "key_long")
+    return lookup.cached_read(asked, values.select("grp", "slot", "key_long", "value"), ["grp", "slot"]).select(F.col("key_long").alias("key"), "value")
+
+
 @query("""WITH s AS (SELECT user_id AS k, user_id % 8 AS grp, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) - 1 AS slot FROM events)
     SELECT grp, k AS key, max(slot) AS slot, max(slot) * 4096 + 1 AS live_address FROM s GROUP BY grp, k""")
 def kv_group_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,6 +250,18 @@ def kv_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.round_robin(kv_orders(spark, sf_dir)).groupBy("log_no").agg(F.count("*").alias("n"), F.sum("key_long").alias("keys"))
 
 
+@query("SELECT count(*) AS n, 1 AS logs_a_writer FROM orders")
+def kv_writer_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every task writes to one log (OP-14)."""
+    tasks = layout.writer_affine(kv_hashed(spark, sf_dir).repartition(8, "key_long")).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.count_distinct("log_no").alias("logs"))
+    return tasks.agg(F.sum("n").alias("n"), F.max("logs").cast("int").alias("logs_a_writer"))
+
+
+@query("SELECT DISTINCT CAST((k >> 54) & 1023 AS INTEGER) AS grp FROM {H}")
+def kv_non_empty_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.non_empty(kv_hashed(spark, sf_dir))
+
+
 @query("""SELECT k AS key, g + (slot // 8) * 1024 AS file_no, slot % 8 AS file_slot FROM
     (SELECT k, (k >> 54) & 1023 AS g, row_number() OVER (PARTITION BY (k >> 54) & 1023 ORDER BY seq) - 1 AS slot FROM {H})""")
 def kv_file_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,6 +336,22 @@ def kv_hash_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.collisions(kv_hashed(spark, sf_dir), slots=SLOTS)
 
 
+@query(f"""SELECT s AS hash_slot, n AS keys_in_slot, CASE WHEN n > 1 THEN least(n, 256) ELSE 0 END AS listed, greatest(n - 256, 0) AS refused
+    FROM (SELECT {_SLOT.format(m=LISTS - 1)} AS s, count(DISTINCT k) AS n FROM {_FOLDED} GROUP BY 1)""")
+def kv_hash_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overflow lists of a small table, some of them full (OP-43)."""
+    return lookup.chained(kv_hashed(spark, sf_dir), slots=LISTS)
+
+
+@query(f"""WITH h AS (SELECT {_SLOT.format(m=PROBED - 1)} AS s, count(DISTINCT k) AS c FROM {_FOLDED} GROUP BY 1),
+    v AS (SELECT s, c, sum(c) OVER (ORDER BY s) - c - s AS v FROM h), t AS (SELECT greatest(0, sum(c) - {PROBED} - min(v)) AS q, min(s) AS first FROM v),
+    w AS (SELECT s, c, v - least(min(v) OVER (ORDER BY s), -q) AS a, coalesce(lead(s) OVER (ORDER BY s), first + {PROBED}) - s AS gap FROM v, t)
+    SELECT s AS hash_slot, c AS keys_in_slot, CAST(a AS BIGINT) AS arriving, CAST(least(a + c, gap) * (a + c) - least(a + c, gap) * (least(a + c, gap) - 1) // 2 AS BIGINT) AS looks FROM w""")
+def kv_probe_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What inserts into a table with linear probing take (OP-42)."""
+    return lookup.probing(kv_hashed(spark, sf_dir), slots=PROBED)
+
+
 # Scalar functions
 
 
@@ -564,6 +603,23 @@ def kv_store_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(key_to_long(F.col("key")).alias("key"), F.decode("value", "UTF-8").cast("double").alias("value"))
 
 
+@query("SELECT count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, true AS ascending FROM orders WHERE o_orderkey >= 64")
+def kv_store_visit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a visitor of a range is given (OP-06). Pairs come to the driver a partition at a time; it keeps two keys."""
+    store = KVStore.open(spark, _folder(spark, "store"))
+    records = kv_orders(spark, sf_dir)
+    store.put(records.select(long_to_key(F.col("key_long")).alias("key"), F.encode(F.col("value").cast("string"), "UTF-8").alias("value"), "seq"))
+    n, first, last, ascending = 0, None, None, True
+
+    def visitor(key: bytes, value: bytes) -> None:
+        nonlocal n, first, last, ascending
+        n, first, ascending, last = n + 1, key if first is None else first, ascending and (last is None or last < key), key
+
+    store.visit(visitor, (64).to_bytes(8, "big"))
+    number = lambda key: key and int.from_bytes(key, "big")
+    return spark.createDataFrame([(n, number(first), number(last), ascending)], "n long, first_key long, last_key long, ascending boolean")
+
+
 @query("SELECT user_id AS key, arg_max(value, event_id) AS value, max(event_id) AS seq FROM events GROUP BY user_id")
 def kv_stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records landed as files, streamed into a store; its last-write-wins view."""

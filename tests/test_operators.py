@@ -138,3 +138,51 @@ def test_file_names(spark):
     names = ["000012.log", "1234567.keyLog", "12.log", "000001.txt", "000003.sst"]
     rows = spark.createDataFrame([(n,) for n in names], "name string").select(codec.file_number(F.col("name")).alias("n"), codec.file_kind(F.col("name")).alias("k")).collect()
     assert [(r.n, r.k) for r in rows] == [(12, "log"), (1234567, "keyLog"), (None, None), (None, None), (3, "sst")]
+
+
+def _home(key: int, slots: int) -> int:
+    folded = ((key >> 32) ^ key) & 0xFFFFFFFF
+    return (folded ^ (folded >> 16)) & (slots - 1)
+
+
+@pytest.mark.parametrize("keys, slots", [([], 16), ([5], 16), (list(range(16)), 16), ([15, 31, 47, 63, 14, 30], 16), ([3, 3, 19, 35, 51, 12, 13, 15, 31, 47, 2], 16),
+                                         ([(i * 7919) ** 3 % 90001 for i in range(1000)], 1024), ([1023 + 1024 * i for i in range(600)], 1024)])
+def test_linear_probing_takes_the_looks_of_real_inserts(spark, keys, slots):
+    taken, arriving, looks, homes = {}, {}, {}, {}
+    for key in dict.fromkeys(keys):
+        at, home = _home(key, slots), _home(key, slots)
+        homes[home] = homes.get(home, 0) + 1
+        while True:
+            looks[at] = looks.get(at, 0) + 1
+            if at != home:
+                arriving[at] = arriving.get(at, 0) + 1
+            if at not in taken:
+                taken[at] = key
+                break
+            at = (at + 1) % slots
+    found = {r.hash_slot: r for r in lookup.probing(spark.createDataFrame([(k,) for k in keys], "key_long long"), slots=slots).collect()}
+    assert {s: r.keys_in_slot for s, r in found.items()} == homes
+    assert {s: r.arriving for s, r in found.items()} == {s: arriving.get(s, 0) for s in homes}
+    marks = sorted(homes)
+    for s, after in zip(marks, marks[1:] + [marks[0] + slots] if marks else []):
+        assert found[s].looks == sum(looks.get(x % slots, 0) for x in range(s, after))
+
+
+def test_linear_probing_refuses_more_keys_than_slots(spark):
+    from kvspark.errors import Status, StoreError
+
+    with pytest.raises(StoreError) as refused:
+        lookup.probing(spark.range(17).withColumnRenamed("id", "key_long"), slots=16)
+    assert refused.value.status == Status.FULL
+
+
+def test_overflow_lists_hold_256(spark):
+    rows = spark.range(300).select((F.col("id") * 16).alias("key_long")).unionByName(spark.createDataFrame([(1,), (1,), (2,), (18,)], "key_long long"))
+    found = {r.hash_slot: tuple(r)[1:] for r in lookup.chained(rows, slots=16).collect()}
+    assert found == {0: (300, 256, 44), 1: (1, 0, 0), 2: (2, 2, 0)}
+
+
+def test_cached_read_gives_all_who_asked(spark):
+    values = spark.createDataFrame([(0, 0, "a"), (0, 1, "b"), (1, 0, "c")], "grp int, slot long, value string")
+    asked = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (1, 9)], "grp int, slot long")
+    assert sorted(r.value for r in lookup.cached_read(asked, values, ["grp", "slot"]).collect()) == ["b", "b", "c"]
