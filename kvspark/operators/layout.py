@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import pack_address, value_offset
 from ..schema import GROUPS, VALUE_BYTES, group_of
+from .ordering import quantile_cuts, range_of
 
 #: Records of a 256 MB window, and of a 128 MB file slice.
 WINDOW = 65536
@@ -19,8 +20,17 @@ def routed(df: DataFrame, key: str = "key_long") -> DataFrame:
 
 
 def slotted(df: DataFrame, group: str = "grp", seq: str = "seq") -> DataFrame:
-    """With the ordinal of each record in its group, in order of arrival."""
-    return df.withColumn("slot", (F.row_number().over(Window.partitionBy(group).orderBy(seq)) - 1).cast("long"))
+    """With the ordinal of each record in its group, in order of arrival; ``seq`` is a long.
+
+    A group may hold any share of the records, so that its order is not left to one task: arrival is cut into ranges of
+    about equal counts, and a slot is the group's records in earlier ranges plus the place in its own.
+    """
+    marked = df.withColumns({"_of": F.struct(group), "_cut": range_of(F.col(seq), quantile_cuts(df, seq))})  # structs of nulls are equal
+    before = Window.partitionBy("_of").orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    base = marked.groupBy("_of", "_cut").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    placed = marked.withColumn("_in", F.row_number().over(Window.partitionBy("_of", "_cut").orderBy(seq)))
+    found = placed.join(base, ["_of", "_cut"])
+    return found.withColumn("slot", (F.col("_before") + F.col("_in") - 1).cast("long")).drop("_of", "_cut", "_in", "_before")
 
 
 def addressed(df: DataFrame) -> DataFrame:

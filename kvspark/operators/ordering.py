@@ -40,12 +40,12 @@ def ranked_by_group(df: DataFrame, order: str = "unsigned", key: str = "key_long
     """``df`` with each row's global position (from 1) in one of the key orders; keys have to be unique.
 
     Groups are ranges of every order, so that a position is the number of rows in earlier groups plus the row's place
-    in its own: a sort a group, and one row a group of counts, instead of one sort of everything in one task. Where
-    keys do not spread over groups, ranges of about equal counts are cut within them.
+    in its own: a sort a group, and one row a group of counts, instead of one sort of everything in one task. Groups are
+    cut further at key quantiles, as many as shuffle partitions, whether keys spread over groups or not; the broadcast
+    counts have a row a group and a row a cut at most.
     """
     k = F.col(key)
-    cuts = _cuts(df, key)
-    marked = df.withColumns({"_grp": group_of(k), "_cut": _bucket(k, cuts)})
+    marked = df.withColumns({"_grp": group_of(k), "_cut": range_of(k, quantile_cuts(df, key))})
     before = Window.orderBy(*_group_order(order), F.col("_cut")).rowsBetween(Window.unboundedPreceding, -1)
     base = marked.groupBy("_grp", "_cut").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     inside = F.row_number().over(Window.partitionBy("_grp", "_cut").orderBy(k))
@@ -64,26 +64,43 @@ def _group_order(order: str) -> list[Column]:
     raise AssertionError
 
 
-def _cuts(df: DataFrame, key: str) -> list[int]:
-    """At most as many key quantiles as there are shuffle partitions."""
-    n = min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+#: Cuts up to which a row's range is found by comparisons in generated code; they would not fit a method much beyond.
+TREE = 256
+
+
+def quantile_cuts(df: DataFrame, key: str) -> list[int]:
+    """Quantiles of a long column that cut it into as many ranges as there are shuffle partitions, or fewer if values repeat.
+
+    That setting follows the data's size, and so does the list, the only thing that reaches the driver.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if n < 2:
         return []
     return sorted({min(int(x), (1 << 63) - 1) for x in df.approxQuantile(key, [i / n for i in range(1, n)], 0.25 / n)})
 
 
-def _bucket(k: Column, cuts: list[int]) -> Column:
-    """The number of cuts at or below k, by a tree of comparisons that stays in generated code."""
+def range_of(k: Column, cuts: list[int]) -> Column:
+    """The number of cuts at or below k; 0 for null."""
+    if len(cuts) > TREE:
+        return _searched(k, cuts)
 
     def tree(low: int, high: int) -> Column:
         if low == high:
             return F.lit(low)
         mid = (low + high) // 2
-        return F.when(k < cuts[mid], tree(low, mid)).otherwise(tree(mid + 1, high))
+        return F.when(F.coalesce(k >= cuts[mid], F.lit(False)), tree(mid + 1, high)).otherwise(tree(low, mid))
 
     return tree(0, len(cuts))
 
 
+def _searched(k: Column, cuts: list[int]) -> Column:
+    """The same by halving steps over an array: the place grows by a step if the cut at its end is not above k."""
+    steps = [1 << i for i in reversed(range(len(cuts).bit_length()))]
+    held = F.expr(f"array({','.join(f'{c}L' if c > -(1 << 63) else '(-9223372036854775807L - 1L)' for c in cuts)})")
+    fits = lambda at: F.coalesce(F.get(held, at - 1) <= k, F.lit(False))
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(fits(at + step), at + step).otherwise(at))
+
+
 def globally_sorted(df: DataFrame, order: str = "unsigned", key: str = "key_long") -> DataFrame:
     """Range-partitioned and sorted, for ordered visits."""
     return df.orderBy(*order_by(order, key))

@@ -186,3 +186,37 @@ def test_cached_read_gives_all_who_asked(spark):
     values = spark.createDataFrame([(0, 0, "a"), (0, 1, "b"), (1, 0, "c")], "grp int, slot long, value string")
     asked = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (1, 9)], "grp int, slot long")
     assert sorted(r.value for r in lookup.cached_read(asked, values, ["grp", "slot"]).collect()) == ["b", "b", "c"]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 256, 257, 511, 512, 1000])
+def test_ranges_by_tree_and_by_search_are_the_same(spark, n):
+    import bisect
+
+    cuts = sorted({(i * 7919) % 30011 - 15000 for i in range(n - 1)} | {-(1 << 63)})
+    values = [*cuts, *(c + 1 for c in cuts), *(c - 1 for c in cuts[1:]), (1 << 63) - 1, None]
+    rows = spark.createDataFrame([(v,) for v in values], "k long").select("k", ordering.range_of(F.col("k"), cuts).alias("one"), ordering._searched(F.col("k"), cuts).alias("other")).collect()
+    for r in rows:
+        assert r.one == r.other == (0 if r.k is None else bisect.bisect_right(cuts, r.k))
+
+
+@pytest.mark.parametrize("parts", ["4", "600"])
+def test_slots_and_positions_do_not_depend_on_the_number_of_ranges(spark, parts):
+    """Most rows are of one group; ranges are found by comparisons, or by search if there are many."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = spark.range(3000).select((F.col("id") * 31 % 3001).alias("key_long"), F.when(F.col("id") % 5 > 0, 7).otherwise(F.col("id") % 3).alias("grp"), (F.col("id") * 1000003 % 3001).alias("seq"))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        slots = layout.slotted(rows).coalesce(4).collect()
+        ranks = ordering.ranked_by_group(rows).coalesce(4).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert [r.pos for r in sorted(ranks, key=lambda r: r.key_long)] == list(range(1, 3001))
+    for group in {r.grp for r in slots}:
+        own = sorted((r for r in slots if r.grp == group), key=lambda r: r.seq)
+        assert [r.slot for r in own] == list(range(len(own)))
+
+
+def test_slots_of_no_rows_and_of_null_groups(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 2), (3, 9)], "grp int, seq long")
+    assert sorted((str(r.grp), r.seq, r.slot) for r in layout.slotted(rows).collect()) == [("3", 9, 0), ("None", 1, 0), ("None", 2, 1)]
+    assert layout.slotted(rows.where("seq > 100")).collect() == []
