@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,9 @@ from .common import discard, ready, shared_dir, utf8
 #: Stands for a null id: such rows count as one document after all others.
 LAST = (1 << 63) - 1
 KEYS = "rid long, h1 long, h2 long"
+PARTITIONS = "spark.sql.shuffle.partitions"
+#: Shuffle partitions whose keys make one bucket of a run: a key takes 24 bytes, however long its line.
+TOGETHER = 8
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -60,13 +64,27 @@ class Runs:
     def __init__(self, spark: SparkSession, fanout: int = 3, at: str | None = None):
         self.spark, self.fanout, self.name = spark, fanout, f"line_runs_{uuid.uuid4().hex}"
         self.dir, self.levels, self.written = at or f"{shared_dir(spark)}/{self.name}", [[]], 0
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        with self._dealt():
+            self.buckets = int(spark.conf.get(PARTITIONS))
         self.folders: dict[str, str] = {}
         for folder, number, level, buckets in sorted(self._found(), key=lambda x: x[1]):
             name = self._named(folder, level)
             spark.sql(f"CREATE TABLE {name} (h1 BIGINT, h2 BIGINT, owner BIGINT) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {buckets} BUCKETS LOCATION '{self.dir}/{folder}'")
             self.written = max(self.written, number + 1)
 
+    @contextmanager
+    def _dealt(self) -> Iterator[None]:
+        """Shuffles here have as many parts as runs have buckets, so that a bucket meets its keys as it lies and is one file.
+
+        Each part costs a task, a file for each run and, whatever it holds, a page of memory for each sort.
+        """
+        whole = self.spark.conf.get(PARTITIONS)
+        self.spark.conf.set(PARTITIONS, str(-(-int(whole) // TOGETHER)))
+        try:
+            yield
+        finally:
+            self.spark.conf.set(PARTITIONS, whole)
+
     def _found(self) -> list[tuple[str, int, int, int]]:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.dir)
         system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -99,29 +117,31 @@ class Runs:
 
     def add(self, keys: DataFrame) -> None:
         """Take in one batch, whose ids all lie above those of earlier batches. keys: as ``keys_of`` gives them."""
-        first = keys.groupBy("h1", "h2").agg(F.min("rid").alias("owner"))
-        self._write(self.unseen(first), 0)
-        level = 0
-        while len(self.levels[level]) >= self.fanout:
-            old, merged = self.levels[level], None
-            for name in old:
-                rows = self.spark.table(name)
-                merged = rows if merged is None else merged.unionByName(rows)
-            self._write(merged, level + 1)
-            self.levels[level] = []
-            for name in old:
-                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-                discard(self.spark, self.folders.pop(name))
-            level += 1
+        with self._dealt():
+            first = keys.groupBy("h1", "h2").agg(F.min("rid").alias("owner"))
+            self._write(self.unseen(first), 0)
+            level = 0
+            while len(self.levels[level]) >= self.fanout:
+                old = self.levels[level]
+                self._write(self._rows(old), level + 1)
+                self.levels[level] = []
+                for name in old:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+                    discard(self.spark, self.folders.pop(name))
+                level += 1
 
     def close(self) -> None:
         """Take the runs out of the session's catalog; their folders stay."""
         for name in self.runs():
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
+    def _rows(self, runs: list[str]) -> DataFrame:
+        """The rows of runs, without their bucketing: a union of bucketed tables is written as it lies, several files a bucket."""
+        return self.spark.read.schema("h1 long, h2 long, owner long").parquet(*map(self.folders.__getitem__, runs))
+
     def owners(self) -> DataFrame:
         """Every key once, with the smallest id that holds it. Read without the bucketing, so that a hot key's join can be split."""
-        return self.spark.read.schema("h1 long, h2 long, owner long").parquet(*map(self.folders.__getitem__, self.runs()))
+        return self._rows(self.runs())
 
 
 def _batches(docs: DataFrame, n: int) -> list[tuple[int | None, int | None]]:

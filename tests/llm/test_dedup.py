@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from kvspark.llm import line_dedup, simhash
 from kvspark.llm.components import components
@@ -117,6 +118,28 @@ def test_line_dedup_without_ids_or_rows(nameless, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_runs_have_few_files_and_meet_batches_unshuffled(spark, tmp_path):
+    """Every part costs a file for each run and pages of memory: executors grew by them."""
+    keys = spark.range(400).selectExpr("id AS rid", "id % 300 AS h1", "id % 7 AS h2")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        state = line_dedup.Runs(spark, at=f"file://{tmp_path}/runs")
+        for a in (0, 100, 200, 300):
+            state.add(keys.where(f"rid >= {a} AND rid < {a + 100}"))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "32"
+        assert len(state.runs()) == 2 and all(len(list(run.glob("part-*"))) <= 4 for run in (tmp_path / "runs").iterdir())
+        with state._dealt():
+            rows = state.unseen(keys.groupBy("h1", "h2").agg(F.min("rid").alias("owner")))
+            assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert rows.count() == 0 and state.owners().count() == keys.select("h1", "h2").distinct().count()
+        state.close()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
 def test_lines_of_ten_code_points_count(spark):
     rows = spark.createDataFrame([(1, "éééééééééé\nééééééééé"), (2, "éééééééééé\nééééééééé\nx")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(rows).collect()} == {1: "éééééééééé\nééééééééé", 2: "ééééééééé\nx"}
