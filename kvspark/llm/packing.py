@@ -28,6 +28,8 @@ SLICE = 1 << 16
 KEPT = 256
 #: Rows that are encoded before their pieces are handed on.
 ROWS = 256
+#: Shuffle partitions whose pieces are stored as one file.
+TOGETHER = 8
 #: Between a letter or digit and a blank behind it every library begins a new word.
 _BORDER = regex.compile(r"[A-Za-z0-9](?=[ \n])")
 _LAST_BORDER = regex.compile(r"(?r)[A-Za-z0-9](?=[ \n])")
@@ -211,14 +213,15 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     path: a byte-level BPE file of the ``tokenizers`` library, found on every executor. Null texts are empty and have
     the final id only. Repeated rows are packed each by itself; null ids too. No rows: no rows. Other columns are not
-    read. Texts are read once and not shuffled; pieces (a few numbers each) are ranked among equal lengths in as many
+    read. Texts are read once and not shuffled; pieces (a few numbers each) are stored together and ranked among equal lengths in as many
     groups as there are shuffle partitions, so that a frequent length, like the full one, is spread out.
     """
     spark = docs.sparkSession
     ready(spark)
     groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = stored(pieces(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), path, length)
-                 .withColumn("part", F.pmod(F.xxhash64("id", "start"), F.lit(groups)).cast("int")))
+    found = pieces(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), path, length).withColumn("part", F.pmod(F.xxhash64("id", "start"), F.lit(groups)).cast("int"))
+    # Shuffled before they are stored: there are as many tasks as texts ask for, but few files.
+    cut = stored(found.repartition("length", "part").coalesce(-(-groups // TOGETHER)))
     counted = cut.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram = {r.length: r.n for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``length`` rows
     size, packs, first, offset = slots(patterns(histogram, length))

@@ -246,6 +246,18 @@ def test_pack_rows(docs, empty, library, length):
     assert packing.pack(empty, PATH).count() == 0
 
 
+def test_pieces_are_stored_in_few_files(docs, monkeypatch):
+    """Files, each of which costs an executor a child process, are as few as the pieces ask for, however many tasks encode."""
+    seen = []
+    monkeypatch.setattr(packing, "stored", lambda df, f=packing.stored: seen.append(f(df)) or seen[-1])
+    got = packing.pack(docs.repartition(16), PATH, length=64)
+    assert seen[0].rdd.getNumPartitions() == 1
+    want = packing.pack(docs.coalesce(1), PATH, length=64)
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert sorted(map(tuple, got.select(*columns).collect()), key=str) == sorted(map(tuple, want.select(*columns).collect()), key=str)
+    assert got.select("sequence_id", "offset").distinct().count() == got.count()
+
+
 # Sharding
 
 
