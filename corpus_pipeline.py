@@ -1,7 +1,7 @@
 """The corpus pipeline: language ID, line dedup, near-dedup, decontamination, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of ``docs``.
-Between stages the documents are written as Parquet and read again.
+Between stages the documents are written as Parquet and read again; a stage that shuffles them gives few files (``few``).
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvspark.llm import decontaminate, language, line_dedup, packing, similar
-from kvspark.llm.common import fold, shared_dir, table
+from kvspark.llm.common import few, fold, shared_dir, table
 from kvspark.llm.queries import tokenizer_path
 
 #: A document stays if a single language makes up this share of it at least.
@@ -36,7 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated lines out of the texts; no document goes."""
-    return _counted(line_dedup.dedup_lines(docs), docs)
+    return _counted(line_dedup.dedup_lines(docs), docs).coalesce(few(spark))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     least = marked.groupBy("node").agg(F.min("id").alias("id")).join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("id").alias("id"))
     found = docs.withColumns({c: row[c] for c in ("kept_1", "kept_2")}).join(least.select("id.row.*"), ["kept_1", "kept_2"], "left_semi")
     found = found.withColumn("kept_place", F.row_number().over(Window.partitionBy("kept_1", "kept_2").orderBy("kept_1")))
-    return found.where("kept_place = 1").select(*docs.columns)
+    return found.where("kept_place = 1").select(*docs.columns).coalesce(few(spark))
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens in sequences of at most 1024."""
-    return packing.pack(docs, tokenizer_path(), length=1024)
+    return packing.pack(docs, tokenizer_path(), length=1024).coalesce(few(spark))
 
 
 def _counted(changed: DataFrame, docs: DataFrame) -> DataFrame:

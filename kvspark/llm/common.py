@@ -56,6 +56,15 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def few(spark: SparkSession) -> int:
+    """Into how many files a result goes: an eighth of the shuffle partitions, but four for each core of the cluster at least.
+
+    For ``coalesce`` behind the last step, which leaves a frame of fewer partitions as it is. Each file costs the executor
+    that creates it a few processes beside its bytes.
+    """
+    return max(4 * spark.sparkContext.defaultParallelism, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder wherever it lies."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

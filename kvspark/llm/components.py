@@ -29,13 +29,14 @@ def hub_join(rows: DataFrame, one: DataFrame, key: str, by: str, total: int) ->
     return dealt.join(one.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n"), [key, "_part"]).drop("_part")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """``node, root``: for every node of ``edges`` (columns ``a``, ``b``, not null), the smallest node it reaches.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each round joins every edge to the smallest
     neighbour of its end, so that paths shrink by a constant factor and stars stay as they are; it ends when a round
     changes nothing. Rounds are cut by tables in the shared folder, the last of which stays; only a count and a checksum
     a round reach the driver. Minima are combined before the shuffle, and a hub's edges are dealt over several tasks.
+    files: at most so many hold the edges at first; the number of shuffle partitions if not given.
     """
 
     def star(e: DataFrame, large: bool, total: int) -> DataFrame:
@@ -48,7 +49,8 @@ def components(edges: DataFrame) -> DataFrame:
             out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    e, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    distinct = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    e, path = written(distinct.coalesce(files) if files else distinct)
     seen = None
     while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -64,8 +64,7 @@ class Runs:
     def __init__(self, spark: SparkSession, fanout: int = 3, at: str | None = None):
         self.spark, self.fanout, self.name = spark, fanout, f"line_runs_{uuid.uuid4().hex}"
         self.dir, self.levels, self.written = at or f"{shared_dir(spark)}/{self.name}", [[]], 0
-        with self._dealt():
-            self.buckets = int(spark.conf.get(PARTITIONS))
+        self.buckets = -(-int(spark.conf.get(PARTITIONS)) // TOGETHER)
         self.folders: dict[str, str] = {}
         for folder, number, level, buckets in sorted(self._found(), key=lambda x: x[1]):
             name = self._named(folder, level)
@@ -79,7 +78,7 @@ class Runs:
         Each part costs a task, a file for each run and, whatever it holds, a page of memory for each sort.
         """
         whole = self.spark.conf.get(PARTITIONS)
-        self.spark.conf.set(PARTITIONS, str(-(-int(whole) // TOGETHER)))
+        self.spark.conf.set(PARTITIONS, str(self.buckets))
         try:
             yield
         finally:
@@ -102,7 +101,9 @@ class Runs:
 
     def _write(self, rows: DataFrame, level: int) -> None:
         folder, self.written = f"run_{self.written:06d}_level_{level}_buckets_{self.buckets}", self.written + 1
-        (rows.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+        # By the number of the bucket, so that each is one file in whatever parts the rows come.
+        bucket = F.pmod(F.hash("h1", "h2"), F.lit(self.buckets))
+        (rows.repartitionById(self.buckets, bucket).write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
          .option("path", f"{self.dir}/{folder}").saveAsTable(f"{self.name}_{folder}"))
         self._named(folder, level)
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, stored, utf8
+from .common import few, ready, stored, utf8
 from .components import components, hub_join
 from .simhash import _majority, _Sets, descend, shingles
 
@@ -294,12 +294,13 @@ def groups(docs: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame]:
     in a bucket again; what is shuffled is about 250 bytes a distinct text, and the sets of the latter once a bucket.
     """
     ready(docs.sparkSession)
+    files = few(docs.sparkSession)
     texts = docs.select(docs.columns[1])
     marked = stored(sketches(docs, words))
-    nodes = stored(marked.groupBy("node").agg(F.min("text_key").alias("text_key"), *(F.max(c).alias(c) for c in ["fp", "n", *_MINS])))
+    nodes = stored(marked.groupBy("node").agg(F.min("text_key").alias("text_key"), *(F.max(c).alias(c) for c in ["fp", "n", *_MINS])).coalesce(files))
     near = stored(_dealt(_shared(nodes, nodes.count())).mapInArrow(_near, MEETING))
     asked = near.select("node").distinct()
     wanted = _filter(nodes.join(asked, "node", "left_semi").select("text_key"))
     held = _sets_of(texts, words, wanted).join(asked, "node", "left_semi").groupBy("node").agg(F.first("held").alias("held"))
     met = near.join(held, "node").repartition(*_KEY).sortWithinPartitions(*_KEY, "fp")
-    return marked.select("id", "node"), components(met.select(*_KEY, "fp", "node", "n", "held").mapInArrow(_linked, EDGES))
+    return marked.select("id", "node"), components(met.select(*_KEY, "fp", "node", "n", "held").mapInArrow(_linked, EDGES), files)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from contextlib import nullcontext
 
 import numpy as np
 import pytest
@@ -140,6 +141,25 @@ def test_runs_have_few_files_and_meet_batches_unshuffled(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
 
 
+def test_runs_have_few_files_where_the_session_holds_its_partitions(spark, tmp_path, monkeypatch):
+    """Rows then come in as many parts as the session says; a bucket is one file all the same, and the runs are right."""
+    monkeypatch.setattr(line_dedup.Runs, "_dealt", lambda self: nullcontext())
+    keys = spark.range(400).selectExpr("id AS rid", "id % 300 AS h1", "id % 7 AS h2")
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        state = line_dedup.Runs(spark, at=f"file://{tmp_path}/runs")
+        for a in (0, 100, 200, 300):
+            state.add(keys.where(f"rid >= {a} AND rid < {a + 100}"))
+        assert len(state.runs()) == 2 and all(len(list(run.glob("part-*"))) <= 4 for run in (tmp_path / "runs").iterdir())
+        want = keys.groupBy("h1", "h2").agg(F.min("rid").alias("owner"))
+        assert sorted(map(tuple, state.owners().select("h1", "h2", "owner").collect())) == sorted(map(tuple, want.collect()))
+        assert state.unseen(want).count() == 0
+        state.close()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
 def test_lines_of_ten_code_points_count(spark):
     rows = spark.createDataFrame([(1, "éééééééééé\nééééééééé"), (2, "éééééééééé\nééééééééé\nx")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(rows).collect()} == {1: "éééééééééé\nééééééééé", 2: "ééééééééé\nx"}

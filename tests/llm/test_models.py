@@ -124,6 +124,22 @@ def test_pipeline_stages_take_awkward_rows(spark, docs, empty, nameless, sf_dir)
             out.count()
 
 
+def test_stages_that_shuffle_documents_give_few_files(spark, docs, sf_dir):
+    """A file costs the executor that creates it child processes: there are not as many as shuffle partitions."""
+    import corpus_pipeline
+
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        for name in ("line_dedup", "simhash_near_dedup", "pack"):
+            assert dict(corpus_pipeline.STAGES)[name](spark, docs, sf_dir).rdd.getNumPartitions() <= 16, name
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_layouts_cover_all_bits():
     for budget, agree in ((4, 2), (6, 2), (4, 3)):
         for top, blocks in simhash.layouts(budget, agree):
