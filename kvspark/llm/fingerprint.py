@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, utf8
+from .common import few, ready, utf8
 from .sharding import range_of, splitters
 
 SAMPLES = 128
@@ -115,7 +115,8 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Pairs of id and text hash are dealt to ranges of about equal counts, so that a range holds runs of neighbours, and many
     rows without an id, or of one, still make many ranges; the first document of each range is also copied to the range
     before it. That is the one shuffle, of compressed texts; to the driver go DRAWS keys and one more a range. Rows that
-    repeat both id and text lie in one range, whose rows are streamed. Ids have to be numbers.
+    repeat both id and text lie in one range, whose rows are streamed. A task takes several ranges, one after another, where
+    there are more than ``few``: each task makes a file. Ids have to be numbers.
     """
     spark = docs.sparkSession
     ready(spark)
@@ -162,4 +163,5 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             kinds = [batch.schema.field(4).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return runs.mapInArrow(compare, f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    found = runs.mapInArrow(compare, f"`{id_col}` {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return found.coalesce(few(spark))

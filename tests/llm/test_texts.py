@@ -160,6 +160,20 @@ def test_against_next(spark, docs, parts):
             assert r.near_next == 1
 
 
+def test_against_next_gives_few_files(spark, docs):
+    """Ranges are as many as shuffle partitions, files are not; what a task takes one after another is as it was."""
+    rows = docs.dropDuplicates(["doc_id"])
+    want = sorted(map(tuple, fingerprint.against_next(rows).collect()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        found = fingerprint.against_next(rows)
+        assert found.rdd.getNumPartitions() <= 16
+        assert sorted(map(tuple, found.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_against_next_of_few_rows(spark, empty, nameless):
     assert fingerprint.against_next(empty).count() == 0
     one = fingerprint.against_next(spark.createDataFrame([(5, "a b c d e f g h")], "doc_id long, text string")).collect()
