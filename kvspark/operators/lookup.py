@@ -67,12 +67,13 @@ def chained(df: DataFrame, key: str = "key_long", slots: int = SLOTS) -> DataFra
     return filled.withColumns({"listed": F.when(n > 1, F.least(n, F.lit(LISTED).cast("long"))).otherwise(0), "refused": F.greatest(n - LISTED, F.lit(0).cast("long"))})
 
 
-def probing(df: DataFrame, key: str = "key_long", slots: int = SLOTS) -> DataFrame:
+def probing(df: DataFrame, key: str = "key_long", slots: int = SLOTS, refuse: bool = True) -> DataFrame:
     """Linear probing that wraps around (OP-42): ``hash_slot, keys_in_slot, arriving, looks`` of each slot that is a key's home.
 
     arriving: keys of earlier homes that look at the slot too, as their own are taken; looks: looks that inserts take from
     this slot on up to the next home. Neither depends on the order of inserts, and the sum of ``looks`` is what all inserts
-    take. A key written again counts once; more keys than slots raise StoreError.
+    take. A key written again counts once; more keys than slots raise StoreError, or if they are not to be refused, each key
+    that finds no place behind its home passes the table's end once, and is counted in the slots it looks at from there on.
 
     Between homes the row of waiting keys gets one shorter a slot, so the keys that arrive are the running sum of keys less
     slots, above its least value so far. Running values are taken within a lock segment; a row a segment, SEGMENTS at most,
@@ -86,7 +87,7 @@ def probing(df: DataFrame, key: str = "key_long", slots: int = SLOTS) -> DataFra
     level = level.withColumn("following", F.lead("hash_slot").over(Window.partitionBy("segment").orderBy("hash_slot")))
     ends = level.groupBy("segment").agg(F.sum("keys_in_slot").alias("n"), F.min("level").alias("least"), F.min("hash_slot").alias("first")).orderBy("segment").collect()
     total = sum(e.n for e in ends)
-    if total > slots:
+    if refuse and total > slots:
         raise StoreError(Status.FULL, f"{total} keys for {slots} slots")
     before, lows = 0, []
     for e in ends:

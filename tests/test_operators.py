@@ -176,6 +176,23 @@ def test_linear_probing_refuses_more_keys_than_slots(spark):
     assert refused.value.status == Status.FULL
 
 
+@pytest.mark.parametrize("keys, slots", [(list(range(40)), 16), ([15 + 16 * i for i in range(20)], 16), ([3, 3, *range(16, 35)], 16), ([(i * 7919) ** 3 % 90001 for i in range(1500)], 1024)])
+def test_linear_probing_counts_more_keys_than_slots(spark, keys, slots):
+    """Two rounds over the slots: what waits at the end of the first arrives in the second."""
+    homes, waiting, arriving, looked = {}, 0, {}, {}
+    for key in dict.fromkeys(keys):
+        homes[_home(key, slots)] = homes.get(_home(key, slots), 0) + 1
+    for _ in range(2):
+        for s in range(slots):
+            arriving[s], looked[s] = waiting, waiting + homes.get(s, 0)
+            waiting = max(0, looked[s] - 1)
+    found = {r.hash_slot: r for r in lookup.probing(spark.createDataFrame([(k,) for k in keys], "key_long long"), slots=slots, refuse=False).collect()}
+    assert {s: (r.keys_in_slot, r.arriving) for s, r in found.items()} == {s: (homes[s], arriving[s]) for s in homes}
+    marks = sorted(homes)
+    for s, after in zip(marks, marks[1:]):
+        assert found[s].looks == sum(looked[x] for x in range(s, after))
+
+
 def test_overflow_lists_hold_256(spark):
     rows = spark.range(300).select((F.col("id") * 16).alias("key_long")).unionByName(spark.createDataFrame([(1,), (1,), (2,), (18,)], "key_long long"))
     found = {r.hash_slot: tuple(r)[1:] for r in lookup.chained(rows, slots=16).collect()}
