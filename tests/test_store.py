@@ -130,3 +130,20 @@ def test_running_latest(spark, tmp_path):
         if r.seq >= best.get(r.key_long, (0, 0))[0]:
             best[r.key_long] = (r.seq, r.value)
     assert best == {1: (3, 2.0), 2: (9, 6.0)}
+
+
+def test_what_the_driver_holds_of_logs_does_not_grow_with_files(spark, tmp_path):
+    """A group's files are one run for the commit and one range a share for the reader; a large group is divided."""
+    logs.register(spark)
+    path = str(tmp_path / "logs")
+    rows = [(1, s, key(s), bytes([s])) for s in range(200)] + [(g, 0, key(-g), b"z") for g in (5, 9)]
+    spark.createDataFrame(rows, logs.SCHEMA).coalesce(1).sortWithinPartitions("grp", "slot").write.format("kvlog").mode("append").option("valueBytes", "1").option("slice", "2").save(path)
+    assert len([x for x in os.listdir(path) if x.endswith(".log")]) == 102
+    shares = logs.LogReader({"path": path, "valuebytes": "1", "tasks": "4"}).partitions()
+    assert [sum(b - a for _, a, b in x.files) for x in shares] == [25, 26, 25, 26] and sum(len(x.files) for x in shares) == 6
+    for options in ({"tasks": "4"}, {"tasks": "7"}, {}):
+        read = spark.read.format("kvlog").options(valueBytes="1", **options).load(path)
+        assert sorted(map(tuple, read.collect())) == sorted(rows)
+    message = logs.Written(runs=[(1, 100, 3)])
+    assert sum(1 for _ in message.moves(path, ("keyLog", "log"))) == 200
+    assert list(message.moves(path, ("log",)))[1] == (f"{path}/001025.log.3.tmp", f"{path}/001025.log")
