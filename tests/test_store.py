@@ -147,3 +147,10 @@ def test_what_the_driver_holds_of_logs_does_not_grow_with_files(spark, tmp_path)
     message = logs.Written(runs=[(1, 100, 3)])
     assert sum(1 for _ in message.moves(path, ("keyLog", "log"))) == 200
     assert list(message.moves(path, ("log",)))[1] == (f"{path}/001025.log.3.tmp", f"{path}/001025.log")
+
+
+def test_writers_of_logs_are_not_coalesced(spark, sf_dir):
+    from kvspark.plans import queries
+
+    rows = spark.range(1000).select((F.col("id") % 50).cast("int").alias("grp"), "id", F.col("id").alias("slot"))
+    assert queries._by_group(rows).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
