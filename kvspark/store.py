@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .errors import Status, StoreError
 from .operators.latest import latest
@@ -96,10 +99,25 @@ class KVStore:
         return globally_sorted(with_key_long(latest(rows, ["key"])), order).drop("key_long")
 
     def visit(self, visitor: Callable[[bytes, bytes], None], lower: bytes | None = None, upper: bytes | None = None) -> None:
-        """Call ``visitor`` with every pair of a range, in order, on the driver, a partition at a time."""
+        """Call ``visitor`` with every pair of a range, in order, on the driver, a partition at a time. All pairs are sent to
+        the driver; for what a visitor gathers of a large range there is ``visit_parts``."""
         for key, value in self.pairs(lower, upper):
             visitor(key, value)
 
+    def visit_parts(self, visitor: Callable[[Iterator[tuple[bytes, bytes]]], tuple], schema: str, lower: bytes | None = None, upper: bytes | None = None) -> list[Row]:
+        """What ``visitor`` makes of each partition of a range, in order of keys. It runs where the partition lies, is given the
+        partition's pairs in order, and returns one row of ``schema``, the only thing that is sent to the driver."""
+
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            pairs = (pair for batch in batches for pair in zip(batch.column("key").to_pylist(), batch.column("value").to_pylist()))
+            row = (TaskContext.get().partitionId(), *visitor(pairs))
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names)
+
+        kind = T._parse_datatype_string(f"_part int, {schema}")
+        arrow = to_arrow_schema(kind)
+        types, names = list(arrow.types), list(arrow.names)
+        return self.range(lower, upper).select("key", "value").mapInArrow(made, kind).orderBy("_part").drop("_part").collect()
+
     def pairs(self, lower: bytes | None = None, upper: bytes | None = None) -> Iterator[tuple[bytes, bytes]]:
         for row in self.range(lower, upper).select("key", "value").toLocalIterator(prefetchPartitions=True):
             yield bytes(row.key), bytes(row.value)

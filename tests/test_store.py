@@ -154,3 +154,19 @@ def test_writers_of_logs_are_not_coalesced(spark, sf_dir):
 
     rows = spark.range(1000).select((F.col("id") % 50).cast("int").alias("grp"), "id", F.col("id").alias("slot"))
     assert queries._by_group(rows).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_parts_of_a_visit_are_made_where_they_lie_and_come_in_order(spark, tmp_path):
+    store = KVStore.open(spark, str(tmp_path / "s"), prefix_bits=3)
+    store.put(records(spark, [(k * 7919 % 4001, b"v%d" % k, k) for k in range(4000)]))
+    parts = store.visit_parts(lambda pairs: (lambda all_: (len(all_), [k for k, _ in all_], os.getpid()))(list(pairs)), "n long, keys array<binary>, pid long", key(100), key(3000))
+    assert [bytes(k) for p in parts for k in p["keys"]] == [key(n) for n in range(100, 3000)] and sum(p.n for p in parts) == 2900
+    assert os.getpid() not in {p.pid for p in parts}
+
+
+def test_the_visit_query_sends_no_pairs_to_the_driver(spark, sf_dir, monkeypatch):
+    from kvspark.plans.queries import QUERIES
+
+    monkeypatch.setattr(KVStore, "pairs", lambda *_: pytest.fail("pairs came to the driver"))
+    row = QUERIES["kv_store_visit"](spark, sf_dir).head()
+    assert row.n > 0 and row.first_key == 64 and row.ascending
