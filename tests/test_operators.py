@@ -111,6 +111,23 @@ def test_varints(spark):
     assert bytes(row.p) == b"\x03abc"
 
 
+def test_varints_of_large_squares_are_whole(spark):
+    """What kv_varint_size makes of keys whose numbers take more than seven bytes."""
+
+    def plain(n: int) -> bytes:
+        out = []
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    numbers = [37 * s * s for s in (3900623, 3900624, 8999999, 53999999, 499000000)]
+    n = F.col("n")
+    rows = spark.createDataFrame([(x,) for x in numbers], "n long").select(codec.varint_size(n).alias("size"), codec.varint(n).alias("b"), codec.varint_value(codec.varint(n)).alias("back")).collect()
+    assert [bytes(r.b) for r in rows] == [plain(x) for x in numbers] and rows[2].b.hex() == "a5ebc7c594b8a905"
+    assert [r.size for r in rows] == [7, 8, 8, 9, 9] == [len(r.b) for r in rows] and [r.back for r in rows] == numbers
+
+
 def test_separators_and_successors():
     assert hashing.separator_of(b"abcz", b"abfz") == b"abd"
     assert hashing.separator_of(b"abc", b"abd") == b"abc"
